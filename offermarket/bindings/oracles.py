@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from offermarket.bindings.oracle_tables import with_tables
-from offermarket.bindings.queries import CUES, WORDS
+from offermarket.bindings.queries import CUES, PART_WORDS, VECTOR_COLUMNS, WORDS
 from offermarket.bindings.tables import BASE_YEAR, COUNTRY, YEARS
 from offermarket.schemas import FOREIGN_KEYS, MAX_LENGTH, NOT_NULL, UNIQUE
 from offermarket.vocabulary import (
@@ -671,3 +671,120 @@ oracle(
                                     ELSE {literal(SOURCE_GENERAL)} END AS text
         FROM conversations""",
 )
+
+# --- model features -----------------------------------------------------------
+
+_N_SKILLS = "CASE WHEN skills = '' THEN 0 ELSE len(string_split(skills, ',')) END"
+oracle("encode_skills", f"SELECT id, CAST({_N_SKILLS} AS DOUBLE) AS n_flags FROM extract", "extract")
+oracle(
+    "encode_categories",
+    "SELECT id, "
+    + ", ".join(f"1e0 AS {name}_flags" for name in VECTOR_COLUMNS)
+    + " FROM extract",
+    "extract",
+)
+oracle(
+    "assemble",
+    f"""SELECT id, CAST(7 + years_of_experience + {_N_SKILLS} AS DOUBLE) AS total FROM extract""",
+    "extract",
+)
+_GUESS = "(o_totalprice + (250000 - o_totalprice) * 0.25)"
+_ERROR = f"(o_totalprice - {_GUESS})"
+_LOG_ERROR = f"(ln(1 + o_totalprice) - ln(1 + {_GUESS}))"
+oracle(
+    "evaluate_regression",
+    f"""SELECT 'fixed' AS model, metric, round_even(value, 3) AS value FROM (
+            SELECT 'mae' AS metric, avg(abs({_ERROR})) AS value FROM orders
+            UNION ALL SELECT 'rmse', sqrt(avg({_ERROR} * {_ERROR})) FROM orders
+            UNION ALL SELECT 'r2', 1 - avg({_ERROR} * {_ERROR}) / var_pop(o_totalprice) FROM orders
+            UNION ALL SELECT 'r2_log', 1 - avg({_LOG_ERROR} * {_LOG_ERROR})
+                      / var_pop(ln(1 + o_totalprice)) FROM orders)""",
+)
+
+# --- whole loads --------------------------------------------------------------
+
+_TWICE = "(SELECT * FROM jobs UNION ALL SELECT * FROM jobs WHERE is_remote_friendly)"
+oracle(
+    "read_market_csv",
+    f""", listed AS (SELECT CAST(l_orderkey AS VARCHAR) AS job_id,
+                           string_agg(p_brand || ' ' || p_name, '| '
+                                      ORDER BY p_brand || ' ' || p_name) AS required_skills
+                    FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey)
+        SELECT j.id AS job_id, job_title, f.country, CAST(salary_avg AS DOUBLE) AS annual_salary_usd,
+               company_size, required_skills, CAST(is_remote_friendly AS VARCHAR) AS is_remote_friendly,
+               posting_year
+        FROM {_TWICE} j JOIN {FEED} f ON CAST(f.job_id AS VARCHAR) = j.id
+             LEFT JOIN listed ON listed.job_id = j.id
+        WHERE {MARKET}""",
+    "jobs",
+)
+oracle(
+    "read_offer_pages",
+    f""", described AS (SELECT job_id, string_agg(skill_id, ', ' ORDER BY skill_id) AS description
+                       FROM job_skills GROUP BY job_id),
+        placed AS (SELECT o_orderkey, o_orderpriority, o_totalprice, code AS country_code,
+                          row_number() OVER (PARTITION BY code ORDER BY o_orderkey) - 1 AS place
+                   FROM (SELECT *, CASE WHEN f.country = '{COUNTRY}' THEN 'gb' ELSE 'us' END AS code
+                         FROM orders JOIN {FEED} f ON f.job_id = o_orderkey
+                         WHERE o_orderstatus = 'P'))
+        SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderpriority AS title, description,
+               o_totalprice AS salary_min, country_code, 'data engineer' AS what,
+               CAST(place // 50 + 1 AS INTEGER) AS page, CAST(place % 50 AS INTEGER) AS pos
+        FROM placed LEFT JOIN described ON job_id = CAST(o_orderkey AS VARCHAR)""",
+    "job_skills",
+)
+oracle(
+    "load_market",
+    f""", raw AS (SELECT j.id, j.is_remote_friendly, f.country, {COUNTRY_OF.format('f.country')} AS canonical
+                  FROM jobs j JOIN {FEED} f ON CAST(f.job_id AS VARCHAR) = j.id WHERE {MARKET}),
+        good AS (SELECT * FROM raw WHERE country IS NOT NULL
+                 AND (canonical IS NULL OR canonical IN (SELECT name FROM {KNOWN}))),
+        counts AS (
+            SELECT (SELECT count(*) + count(*) FILTER (is_remote_friendly) FROM raw) AS n_read,
+                   (SELECT count(*) + count(*) FILTER (is_remote_friendly) FROM good) AS n_good,
+                   (SELECT count(*) FROM good) AS n_new,
+                   (SELECT count(*) FROM job_skills JOIN good ON job_id = good.id) AS n_pairs),
+        reports AS (
+            SELECT 1 AS load, * FROM counts
+            UNION ALL SELECT 2, n_read, n_good, 0, 0 FROM counts)
+        SELECT load, 'read' AS metric, n_read AS n FROM reports
+        UNION ALL SELECT load, 'accepted', n_good FROM reports
+        UNION ALL SELECT load, 'rejected', n_read - n_good FROM reports
+        UNION ALL SELECT load, 'inserted', n_new FROM reports
+        UNION ALL SELECT load, 'job_skills inserted', n_pairs FROM reports
+        UNION ALL SELECT load, 'duplicate', n_good - n_new FROM reports""",
+    "jobs",
+    "job_skills",
+)
+_PART_WORDS = "[" + ", ".join(literal(word.lower()) for word in PART_WORDS) + "]"
+_API = f""", api AS (SELECT o_orderkey, company_name, {COUNTRY_OF.format('country')} AS canonical
+                    FROM orders JOIN {FEED} f ON f.job_id = o_orderkey WHERE o_orderstatus = 'P'),
+        word_pairs AS (SELECT DISTINCT o_orderkey, unnest(list_filter(
+                           string_split(p_name, ' '), lambda w: list_contains({_PART_WORDS}, w))) AS word
+                       FROM api JOIN lineitem ON l_orderkey = o_orderkey
+                            JOIN part ON l_partkey = p_partkey)"""
+oracle(
+    "load_pages",
+    f"""{_API}, counts AS (SELECT (SELECT count(*) FROM api) AS n,
+                                  (SELECT count(*) FROM word_pairs) AS n_pairs)
+        SELECT 'read' AS metric, n FROM counts
+        UNION ALL SELECT 'accepted', n FROM counts
+        UNION ALL SELECT 'rejected', 0 FROM counts
+        UNION ALL SELECT 'inserted', n FROM counts
+        UNION ALL SELECT 'job_skills inserted', n_pairs FROM counts
+        UNION ALL SELECT 'duplicate', 0 FROM counts""",
+    "job_skills",
+)
+oracle(
+    "ingest_incremental",
+    f"""{_API}
+        SELECT 'countries' AS "table", NULL AS source,
+               (SELECT 2 * count(*) FROM {KNOWN}) + (SELECT count(DISTINCT canonical) FROM api
+                WHERE canonical NOT IN (SELECT name FROM {KNOWN})) AS n
+        UNION ALL SELECT 'companies', NULL, (SELECT count(*) FROM (
+                  SELECT DISTINCT company_name, canonical FROM api WHERE canonical IS NOT NULL))
+        UNION ALL SELECT 'skills', NULL, (SELECT count(DISTINCT word) FROM word_pairs)
+        UNION ALL SELECT 'jobs', '{API_SOURCE}', (SELECT count(*) FROM api)
+        UNION ALL SELECT 'job_skills', NULL, (SELECT count(*) FROM word_pairs)""",
+    "job_skills",
+)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,13 +35,19 @@ from offermarket.operators import (
     market,
     matching,
     merge,
+    model,
     quality,
     skills,
     views,
 )
-from offermarket.plans import advising
-from offermarket.sources import profiling
-from offermarket.staging import stage
+from offermarket.plans import advising, loading, pricing
+from offermarket.plans.loading import Warehouse
+from offermarket.schemas import API_OFFER, MARKET_COLUMNS, SALARY_REQUEST
+from offermarket.skew import blocked_row_number
+from offermarket.sources import feeds, profiling
+from offermarket.staging import new_folder, stage
+from offermarket.streaming import ingest
+from offermarket.vocabulary import API_SOURCE, MARKET_SOURCE
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -706,24 +713,25 @@ def hiring_countries(m: Market) -> DataFrame:
     offers = stage(m.rows.select("job_id", "country", "skill_name"), "offer-skills")
     demand = stage(career.skill_demand(offers), "demand")
     placed = stage(career.placed_offers(offers, demand), "placed-offers")
-    return career.hiring_countries(matching.valid_profiles(m.profiles), placed).select(
+    profiles = stage(matching.valid_profiles(m.profiles), "profiles")
+    return career.hiring_countries(profiles, placed).select(
         "profile_id", "rank", "country", "n_offers"
     )
 
 
 @query
 def skill_salary_impact(m: Market) -> DataFrame:
-    return advising.career_plan(m.profiles, m.rows).salary_impact
+    return advising.CareerPlan(m.profiles, m.rows).salary_impact()
 
 
 @query
 def career_plan_skills(m: Market) -> DataFrame:
-    return advising.career_plan(m.profiles, m.rows).priority_skills
+    return advising.CareerPlan(m.profiles, m.rows).priority_skills()
 
 
 @query
 def career_plan_countries(m: Market) -> DataFrame:
-    return advising.career_plan(m.profiles, m.rows).hiring_countries
+    return advising.CareerPlan(m.profiles, m.rows).hiring_countries()
 
 
 # --- salary features ----------------------------------------------------------
@@ -851,3 +859,262 @@ def tag_source_(m: Market) -> DataFrame:
         "conv_id", "turn", tag_source(F.col("text"), intent).alias("text")
     )
 
+
+
+# --- model features -----------------------------------------------------------
+
+VECTOR_COLUMNS = ["job_title", "country", "experience_level", "is_remote_friendly", "job_category"]
+
+
+def _encoded(m: Market) -> DataFrame:
+    rows = stage(model.training_rows(extract(m)), "training-rows")
+    return model.fit_features(rows).transform(rows)
+
+
+def _total(name: str) -> Column:
+    """Sum of a vector's entries."""
+    entries = vector_to_array(F.col(name))
+    return F.aggregate(entries, F.lit(0.0), lambda total, entry: total + entry)
+
+
+@query
+def encode_skills(m: Market) -> DataFrame:
+    return _encoded(m).select("id", _total("skill_flags").alias("n_flags"))
+
+
+@query
+def encode_categories(m: Market) -> DataFrame:
+    flags = [_total(f"{name}_flags").alias(f"{name}_flags") for name in VECTOR_COLUMNS]
+    return _encoded(m).select("id", *flags)
+
+
+@query
+def assemble(m: Market) -> DataFrame:
+    return _encoded(m).select("id", _total("features").alias("total"))
+
+
+# --- models -------------------------------------------------------------------
+
+# Small budgets: the searches themselves are the same with any grid.
+SMALL_FOREST = {
+    "numTrees": [10],
+    "maxDepth": [4, 5],
+    "minInstancesPerNode": [1, 2],
+    "featureSubsetStrategy": ["sqrt", "log2"],
+}
+SMALL_BOOSTED = {
+    "maxIter": [3],
+    "maxDepth": [3],
+    "stepSize": [0.1],
+    "subsamplingRate": [0.8],
+    "featureSubsetStrategy": ["0.7"],
+    "minInstancesPerNode": [1, 3],
+}
+
+
+@query
+def evaluate_regression(m: Market) -> DataFrame:
+    """A guess that adds a fixed part of the price's distance to 250000."""
+    price = F.col("o_totalprice")
+    guess = price + (F.lit(250000.0) - price) * 0.25
+    predicted = m.read("orders").select(
+        F.log1p(price).alias("label"), F.log1p(guess).alias("prediction")
+    )
+    return model.evaluate_regression(predicted, "fixed").withColumn(
+        "value", F.bround("value", 3)
+    )
+
+
+@query
+def search_forest(m: Market) -> DataFrame:
+    data = pricing.TrainingSet.of(extract(m), min_count=50)
+    found = model.search_forest(data.train, 2, 2, grid=SMALL_FOREST)
+    return model.evaluate_regression(found.transform(data.test), "forest")
+
+
+@query
+def search_boosted(m: Market) -> DataFrame:
+    data = pricing.TrainingSet.of(extract(m), min_count=50)
+    found = model.search_boosted(data.train, 1, 2, grid=SMALL_BOOSTED)
+    return model.evaluate_regression(found.transform(data.test), "boosted")
+
+
+@query
+def linear_baseline(m: Market) -> DataFrame:
+    data = pricing.TrainingSet.of(extract(m), min_count=50)
+    return model.evaluate_regression(
+        model.linear_baseline(data.train).transform(data.test), "linear"
+    )
+
+
+def _forest(m: Market) -> tuple:
+    data = pricing.TrainingSet.of(extract(m), min_count=50)
+    return data, model.search_forest(data.train, 1, 2, grid=SMALL_FOREST)
+
+
+@query
+def feature_importance(m: Market) -> DataFrame:
+    data, forest = _forest(m)
+    return model.feature_importance(forest.bestModel, data.train).select("feature", "importance")
+
+
+@query
+def reduced_forest(m: Market) -> DataFrame:
+    data, forest = _forest(m)
+    best = model.feature_importance(forest.bestModel, data.train, n=30)
+    reduced = model.reduced_forest(data.train, best, model.best_params(forest, SMALL_FOREST))
+    return model.evaluate_regression(reduced.transform(data.test), "reduced forest")
+
+
+def _pipeline(m: Market):
+    """A baseline saved and read back, as scoring jobs do."""
+    data = pricing.TrainingSet.of(extract(m), min_count=50)
+    path = new_folder(m.spark, "model")
+    model.save_model(model.full_pipeline(data.encoders, model.linear_baseline(data.train)), path)
+    return model.load_model(path)
+
+
+@query
+def score_salary(m: Market) -> DataFrame:
+    """API offers state no salary; the model gives them one."""
+    wanted = m.jobs.filter(F.col("source") == API_SOURCE).join(
+        m.countries.select(F.col("id").alias("country_id"), F.col("name").alias("country")),
+        "country_id",
+        "left",
+    )
+    requests = wanted.withColumn("skills", F.array().cast("array<string>")).select(
+        "id", *SALARY_REQUEST.fieldNames()
+    )
+    return model.score_salary(requests, _pipeline(m)).select("id", "predicted_salary")
+
+
+@query
+def score_requests(m: Market) -> DataFrame:
+    """Assistant messages of two turns and more log a request, the others none."""
+    request = F.to_json(
+        F.struct(
+            F.col("text").alias("industry"),
+            F.col("turn").alias("years_of_experience"),
+            F.array(F.lit("Brand#1 blue bolt")).alias("skills"),
+        )
+    )
+    logged = F.when(
+        F.col("turn") >= 2, F.concat(F.lit("<ML_PREDICT>"), request, F.lit("</ML_PREDICT>"))
+    ).otherwise(F.col("text"))
+    conv = m.read("conversations").withColumn("text", logged)
+    return dialogue.score_requests(conv, _pipeline(m))
+
+
+# --- whole loads --------------------------------------------------------------
+
+PART_WORDS = ["bolt", "Gear", "ring", "blue", "red", "hot"]
+
+
+def _land_market(m: Market) -> str:
+    """Market offers as a CSV, the finished ones twice; gaps read "NaN"."""
+    skill_lists = m.line_skills.groupBy("job_id").agg(
+        F.concat_ws("| ", F.array_sort(F.collect_list("name"))).alias("required_skills")
+    )
+    raw_country = _feed(m).select(F.col("job_id").cast("string").alias("job_id"), "country")
+    offers = (
+        m.jobs.filter(F.col("source") == MARKET_SOURCE)
+        .withColumnRenamed("id", "job_id")
+        .join(raw_country, "job_id")
+        .join(skill_lists, "job_id", "left")
+        .withColumn("annual_salary_usd", F.col("salary_avg"))
+    )
+    given = [name for name in MARKET_COLUMNS if name in offers.columns]
+    feed = offers.select(
+        *[
+            F.col(name) if name in given else F.lit(None).cast("string").alias(name)
+            for name in reversed(MARKET_COLUMNS)
+        ]
+    )
+    path = new_folder(m.spark, "market-csv")
+    again = feed.filter(F.col("is_remote_friendly"))
+    feed.unionByName(again).write.csv(path, header=True, nullValue="NaN", escape='"')
+    return path
+
+
+def _land_pages(m: Market) -> str:
+    """API offers as result pages of 50."""
+    orders = m.read("orders").select(
+        F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderkey").alias("number")
+    )
+    offers = (
+        api_offers(m)
+        .filter(F.col("category.label") == "P")
+        .withColumn("what", F.lit("data engineer"))
+        .join(orders, "id")
+    )
+    search = ["country_code", "what"]
+    numbered = blocked_row_number(offers, search, "number", "place", 1000)
+    offer = F.struct(*[field.name for field in API_OFFER.fields])
+    pages = (
+        numbered.withColumn("page", F.floor((F.col("place") - 1) / 50) + 1)
+        .groupBy(*search, "page")
+        .agg(F.array_sort(F.collect_list(F.struct("place", offer.alias("offer")))).alias("items"))
+        .select(*search, "page", F.transform("items", lambda item: item["offer"]).alias("results"))
+    )
+    path = new_folder(m.spark, "pages")
+    pages.write.partitionBy(*search, "page").json(path)
+    return path
+
+
+def _new_warehouse(m: Market) -> Warehouse:
+    warehouse = Warehouse(m.spark, new_folder(m.spark, "warehouse"))
+    warehouse.put("countries", _some_countries(m), "start")
+    return warehouse
+
+
+@query
+def read_market_csv(m: Market) -> DataFrame:
+    return feeds.read_market_csv(m.spark, _land_market(m)).select(
+        "job_id",
+        "job_title",
+        "country",
+        money("annual_salary_usd"),
+        "company_size",
+        "required_skills",
+        F.col("is_remote_friendly").cast("string").alias("is_remote_friendly"),
+        F.col("posting_year"),
+    )
+
+
+@query
+def read_offer_pages(m: Market) -> DataFrame:
+    return feeds.read_offer_pages(m.spark, _land_pages(m)).select(
+        "id", "title", "description", "salary_min", "country_code", "what", "page", "pos"
+    )
+
+
+@query
+def load_market(m: Market) -> DataFrame:
+    """The same feed twice: the second load's report must show nothing new."""
+    warehouse, path = _new_warehouse(m), _land_market(m)
+    first = loading.load_market(warehouse, path, "first", ALIASES)
+    second = loading.load_market(warehouse, path, "second", ALIASES)
+    return first.withColumn("load", F.lit(1)).unionByName(second.withColumn("load", F.lit(2)))
+
+
+@query
+def load_pages(m: Market) -> DataFrame:
+    return loading.load_pages(_new_warehouse(m), _land_pages(m), "pages", ALIASES, PART_WORDS)
+
+
+@query
+def ingest_incremental(m: Market) -> DataFrame:
+    """Pages taken in by several batches: counts and pairs as in one load."""
+    warehouse = _new_warehouse(m)
+    landing = _land_pages(m)
+    files = max(1, m.spark.read.format("binaryFile").load(landing).count() // 3)
+    ingest.ingest_incremental(
+        m.spark,
+        landing,
+        warehouse.path,
+        new_folder(m.spark, "stream"),
+        files_per_batch=files + 1,
+        aliases=ALIASES,
+        dictionary=PART_WORDS,
+    ).awaitTermination()
+    return quality.table_counts(warehouse.tables())

@@ -1,0 +1,41 @@
+"""Quick tests on list columns taken as sets."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+WORDS = 4
+
+
+def signature(items: Column, words: int = WORDS) -> Column:
+    """Bits of a list: one per item, chosen by its hash, in ``words`` longs."""
+
+    def word(number: Column) -> Column:
+        def add(bits: Column, item: Column) -> Column:
+            place = F.pmod(F.xxhash64(item), F.lit(64 * words))
+            bit = F.call_function(
+                "shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int")
+            )
+            return F.when(F.floor(place / 64) == number, bits.bitwiseOR(bit)).otherwise(bits)
+
+        return F.aggregate(items, F.lit(0).cast("long"), add)
+
+    return F.transform(F.array(*[F.lit(number) for number in range(words)]), word)
+
+
+def disjoint(
+    left: Column, right: Column, left_bits: list[Column], right_bits: list[Column]
+) -> Column:
+    """True when two lists share no item.
+
+    Most lists without a common item show it by their signatures; only the
+    others are compared item by item.
+    """
+    common = reduce(
+        lambda one, other: one.bitwiseOR(other),
+        [mine.bitwiseAND(theirs) for mine, theirs in zip(left_bits, right_bits)],
+    )
+    return (common == 0) | ~F.arrays_overlap(left, right)

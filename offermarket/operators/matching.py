@@ -18,7 +18,7 @@ from offermarket.functions.numbers import (
     percent_text,
     report_grade,
 )
-from offermarket.skew import hot_join, salted_lookup
+from offermarket.skew import hot_join, salted_lookup, spread
 from offermarket.vocabulary import (
     ALL_COUNTRIES,
     FULL_PROFILE,
@@ -109,7 +109,7 @@ def coverage_score(
     """
     if method not in ("coverage", "dice"):
         raise ValueError(f"unknown method {method}")
-    owned = profiles.repartition("profile_id").select(
+    owned = spread(profiles, "profile_id").select(
         "profile_id", "scope", F.size("skills").alias("n_owned"), F.explode("skills").alias("skill")
     )
     needed = requirements.select(

@@ -1,4 +1,8 @@
-"""Loads of both feeds into a Parquet warehouse, once and incrementally."""
+"""Loads of both feeds into a Parquet warehouse.
+
+A load writes folders of its own (``load=<id>``) and ignores them when it looks
+up what is stored. Repeating a load under the same id therefore replaces it.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from offermarket.operators import conform, merge, quality
 from offermarket.operators.skills import build_job_skills, offer_skill_names
-from offermarket.schemas import ARRIVAL
+from offermarket.schemas import ARRIVAL, TABLES
 from offermarket.sources.feeds import read_market_csv, read_offer_pages
 from offermarket.sources.seeds import seed_dimensions
 from offermarket.sources.warehouse import read_warehouse_table
@@ -17,6 +21,7 @@ from offermarket.staging import stage
 from offermarket.vocabulary import COUNTRY_ALIASES, DETECTED_SKILLS
 
 OFFER_KEY = ["external_id", "source"]
+Aliases = dict[str, str | None]
 
 
 @dataclass
@@ -26,32 +31,30 @@ class Warehouse:
     spark: SparkSession
     path: str
 
-    def table(self, name: str) -> DataFrame:
-        return read_warehouse_table(self.spark, name, parquet_dir=self.path)
-
-    def append(self, name: str, rows: DataFrame, load_id: str, mode: str = "append") -> None:
-        """Add one load; it gets its own folder, so repeating a load replaces it."""
-        merge.write_table(rows, f"{self.path}/{name}/load={load_id}", mode=mode)
+    def table(self, name: str, without_load: str | None = None) -> DataFrame:
+        return read_warehouse_table(
+            self.spark, name, parquet_dir=self.path, without_load=without_load
+        )
 
     def tables(self) -> dict[str, DataFrame]:
-        return {
-            name: self.table(name)
-            for name in ("countries", "companies", "skills", "jobs", "job_skills")
-        }
+        return {name: self.table(name) for name in TABLES}
+
+    def put(self, name: str, rows: DataFrame, load_id: str) -> None:
+        """The rows of one load, in its own folder."""
+        merge.write_table(rows, f"{self.path}/{name}/load={load_id}", mode="overwrite")
 
 
 def seed_warehouse(warehouse: Warehouse, load_id: str = "seed") -> None:
     """Reference countries and skills, where they are absent."""
-    countries, skills = seed_dimensions(warehouse.table("countries"), warehouse.table("skills"))
-    warehouse.append("countries", stage(countries, "countries"), load_id)
-    warehouse.append("skills", stage(skills, "skills"), load_id)
+    countries, skills = seed_dimensions(
+        warehouse.table("countries", load_id), warehouse.table("skills", load_id)
+    )
+    warehouse.put("countries", stage(countries, "countries"), load_id)
+    warehouse.put("skills", stage(skills, "skills"), load_id)
 
 
 def load_market(
-    warehouse: Warehouse,
-    path: str,
-    load_id: str | None = None,
-    aliases: dict[str, str | None] = COUNTRY_ALIASES,
+    warehouse: Warehouse, path: str, load_id: str | None = None, aliases: Aliases = COUNTRY_ALIASES
 ) -> DataFrame:
     """Load a market CSV; returns the load report."""
     raw = stage(read_market_csv(warehouse.spark, path), "market-raw")
@@ -65,28 +68,33 @@ def load_pages(
     warehouse: Warehouse,
     path: str,
     load_id: str | None = None,
-    aliases: dict[str, str | None] = COUNTRY_ALIASES,
+    aliases: Aliases = COUNTRY_ALIASES,
+    dictionary: list[str] = DETECTED_SKILLS,
 ) -> DataFrame:
     """Load landed API pages; returns the load report."""
-    raw = read_offer_pages(warehouse.spark, path)
-    return load_offers_of_pages(warehouse, raw, load_id or uuid.uuid4().hex, aliases)
+    offers = read_offer_pages(warehouse.spark, path)
+    return load_offers_of_pages(
+        warehouse, offers, load_id or uuid.uuid4().hex, aliases, dictionary
+    )
 
 
 def load_offers_of_pages(
     warehouse: Warehouse,
     offers: DataFrame,
     load_id: str,
-    aliases: dict[str, str | None] = COUNTRY_ALIASES,
+    aliases: Aliases = COUNTRY_ALIASES,
     dictionary: list[str] = DETECTED_SKILLS,
 ) -> DataFrame:
     """Load API offers: new countries and companies first, then the offers."""
     raw = stage(offers, "pages-raw")
-    new_countries = conform.add_missing_countries(raw, warehouse.table("countries"), aliases)
-    warehouse.append("countries", stage(new_countries, "countries"), load_id)
+    new_countries = conform.add_missing_countries(
+        raw, warehouse.table("countries", load_id), aliases
+    )
+    warehouse.put("countries", stage(new_countries, "countries"), load_id)
     countries = warehouse.table("countries")
     located = conform.locate_offers(raw, countries, aliases)
-    new_companies = conform.upsert_companies(located, warehouse.table("companies"))
-    warehouse.append("companies", stage(new_companies, "companies"), load_id)
+    new_companies = conform.upsert_companies(located, warehouse.table("companies", load_id))
+    warehouse.put("companies", stage(new_companies, "companies"), load_id)
     conformed = conform.conform_api(raw, countries, warehouse.table("companies"), aliases)
     accepted, rejected = conform.split_titled(conformed)
     return _load_offers(warehouse, raw, accepted, rejected, load_id, dictionary)
@@ -100,15 +108,17 @@ def _load_offers(
     load_id: str,
     dictionary: list[str] = DETECTED_SKILLS,
 ) -> DataFrame:
-    # Staged, because new offers feed both tables and the target changes below.
-    new_rows = merge.insert_if_absent(warehouse.table("jobs"), accepted, OFFER_KEY, [ARRIVAL])
+    # Staged before anything is written: new offers feed three tables, and the
+    # look-ups must not see what this load adds.
+    stored = warehouse.table("jobs", load_id)
+    new_rows = merge.insert_if_absent(stored, accepted, OFFER_KEY, [ARRIVAL])
     offers = stage(conform.finish_offers(new_rows, load_id), "offers")
-    names = stage(offer_skill_names(offers, dictionary), "offer-skills")
-    new_skills = stage(conform.upsert_skills(names, warehouse.table("skills")), "skills")
-    warehouse.append("skills", new_skills, load_id)
+    names = offer_skill_names(offers, dictionary)
+    new_skills = stage(conform.upsert_skills(names, warehouse.table("skills", load_id)), "skills")
+    warehouse.put("skills", new_skills, load_id)
     pairs = build_job_skills(offers, warehouse.table("skills"), dictionary)
-    bridge = stage(merge.insert_job_skills(warehouse.table("job_skills"), pairs), "job-skills")
-    warehouse.append("jobs", offers, load_id)
-    warehouse.append("job_skills", bridge, load_id)
+    bridge = merge.insert_job_skills(warehouse.table("job_skills", load_id), pairs)
+    bridge = stage(bridge, "job-skills")
+    warehouse.put("jobs", offers, load_id)
+    warehouse.put("job_skills", bridge, load_id)
     return quality.load_report(raw, accepted, rejected, offers, bridge)
-

@@ -57,6 +57,16 @@ def blocked_row_number(
     )
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Partition by keys into the session's full number of partitions.
+
+    For rows that are few bytes but much work: a number that is given is kept,
+    while adaptive execution would merge small partitions into a single task.
+    """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(partitions, *keys)
+
+
 def any_null(columns: list[str]) -> Column:
     """True where at least one of the columns is NULL."""
     result = F.lit(False)

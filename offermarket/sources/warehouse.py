@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from offermarket.schemas import TABLES
 
+_LOAD = T.StructField("load", T.StringType())
+
 
 def read_warehouse_table(
     spark: SparkSession,
@@ -14,13 +18,15 @@ def read_warehouse_table(
     *,
     parquet_dir: str | None = None,
     jdbc: dict[str, str] | None = None,
+    without_load: str | None = None,
 ) -> DataFrame:
     """One stored table, or over JDBC also a query.
 
     From Parquet a table that was never written is empty. ``jdbc`` holds the
     reader's options; with ``partitionColumn``, bounds and ``numPartitions``
     the rows are fetched by that many tasks, and a ``name`` starting with
-    ``select`` is passed on as a query.
+    ``select`` is passed on as a query. ``without_load`` leaves out the rows one
+    load wrote, which is a folder that is not listed for reading.
     """
     if (parquet_dir is None) == (jdbc is None):
         raise ValueError("give either parquet_dir or jdbc")
@@ -28,11 +34,15 @@ def read_warehouse_table(
         return spark.read.format("jdbc").options(**jdbc_options(name, jdbc)).load()
     schema = TABLES[name]
     try:
-        stored = spark.read.schema(schema).parquet(f"{parquet_dir.rstrip('/')}/{name}")
+        stored = spark.read.schema(T.StructType([*schema.fields, _LOAD])).parquet(
+            f"{parquet_dir.rstrip('/')}/{name}"
+        )
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
+    if without_load is not None:
+        stored = stored.filter(~F.col(_LOAD.name).eqNullSafe(without_load))
     return stored.select(*schema.fieldNames())
 
 

@@ -63,7 +63,7 @@ if __name__ == "__main__":
     folder = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
     names = sys.argv[1:] or list(queries())
     spark = build_session(
-        master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "16g", "spark.ui.enabled": "false"}
+        master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "16g", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"}
     )
     spark.sparkContext.setLogLevel("ERROR")
     connection = duck(folder)
