@@ -4,6 +4,19 @@ from __future__ import annotations
 
 from offermarket.vocabulary import ALL_COUNTRIES, API_SOURCE, MARKET_SOURCE
 
+
+
+def percent_score(part: str, whole: str) -> str:
+    """Half-even to one decimal on the printed digits; ``round_even`` scales first."""
+    tens = (
+        f"CAST(CAST(CAST({part} AS DOUBLE) / {whole} * 100 AS VARCHAR) AS DECIMAL(30, 20)) * 10"
+    )
+    rest = f"({tens} - floor({tens}))"
+    return f"""(CAST(floor({tens}) AS BIGINT) + CASE
+                   WHEN {rest} > 0.5 OR ({rest} = 0.5 AND CAST(floor({tens}) AS BIGINT) % 2 = 1)
+                   THEN 1 ELSE 0 END) / 10e0"""
+
+
 TABLES = {
     "countries": (
         [],
@@ -96,12 +109,8 @@ TABLES = {
     ),
     "scored": (
         ["profile_skills", "needed", "facts"],
-        """SELECT profile_id, scope, job_title, n_matched, n_required, n_owned, mean_salary,
-                  ((1000 * n_matched) // n_required + CASE
-                     WHEN 2 * ((1000 * n_matched) % n_required) > n_required THEN 1
-                     WHEN 2 * ((1000 * n_matched) % n_required) = n_required
-                          AND ((1000 * n_matched) // n_required) % 2 = 1 THEN 1
-                     ELSE 0 END) / 10e0 AS score
+        f"""SELECT profile_id, scope, job_title, n_matched, n_required, n_owned, mean_salary,
+                  {percent_score('n_matched', 'n_required')} AS score
            FROM (SELECT p.profile_id, p.scope, n.job_title, count(*) AS n_matched
                  FROM profile_skills p JOIN needed n ON p.scope = n.scope AND p.skill = n.skill
                  GROUP BY p.profile_id, p.scope, n.job_title) m

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from offermarket.bindings.oracle_tables import with_tables
+from offermarket.bindings.oracle_tables import percent_score, with_tables
 from offermarket.bindings.queries import CUES, PART_WORDS, VECTOR_COLUMNS, WORDS
 from offermarket.bindings.tables import BASE_YEAR, COUNTRY, YEARS
 from offermarket.schemas import FOREIGN_KEYS, MAX_LENGTH, NOT_NULL, UNIQUE
@@ -515,13 +515,9 @@ oracle(
 )
 oracle(
     "dice_score",
-    """SELECT profile_id, job_title,
-              ((2000 * n_matched) // (n_owned + n_required) + CASE
-                 WHEN 2 * ((2000 * n_matched) % (n_owned + n_required)) > n_owned + n_required THEN 1
-                 WHEN 2 * ((2000 * n_matched) % (n_owned + n_required)) = n_owned + n_required
-                      AND ((2000 * n_matched) // (n_owned + n_required)) % 2 = 1 THEN 1
-                 ELSE 0 END) / 10e0 AS score
-       FROM scored""",
+    f"""SELECT profile_id, job_title,
+               {percent_score('(2 * n_matched)', '(n_owned + n_required)')} AS score
+        FROM scored""",
     "scored",
 )
 oracle("recommend_titles", "SELECT profile_id, rank, job_title, score FROM recs", "recs")

@@ -30,13 +30,10 @@ def share(part: Column, whole: Column) -> Column:
 def percent_score(part: Column, whole: Column) -> Column:
     """``100 * part / whole`` to one decimal, ties to even, 0 for an empty whole.
 
-    Done on integers: a double quotient can fall on either side of a tie.
+    The quotient is a double and is rounded as it is printed: 23 of 80 gives
+    28.7, since the double lies just below the tie.
     """
-    thousandths = F.lit(1000) * part
-    below = F.floor(thousandths / whole)
-    twice = F.lit(2) * (thousandths - below * whole)
-    up = F.when(twice > whole, 1).when((twice == whole) & (below % 2 == 1), 1).otherwise(0)
-    return F.when(whole > 0, (below + up) / F.lit(10.0)).otherwise(F.lit(0.0))
+    return F.when(whole > 0, F.bround(part / whole * 100, 1)).otherwise(F.lit(0.0))
 
 
 def _grade(score: Column, position: int) -> Column:
