@@ -408,7 +408,7 @@ def apply_defaults(m: Market) -> DataFrame:
 @query
 def assign_keys(m: Market) -> DataFrame:
     """Keys themselves are internal: equal names share one, others differ."""
-    keyed = conform.assign_keys(m.line_skills, ["name"], "skill_id")
+    keyed = conform.assign_keys(m.line_skills.select("job_id", "name"), ["name"], "skill_id")
     return keyed.agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.countDistinct("skill_id").alias("n_keys"),

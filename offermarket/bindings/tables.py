@@ -100,17 +100,20 @@ class Market:
 
     @cached_property
     def line_skills(self) -> DataFrame:
-        """``(job_id, name)`` of every order line."""
-        part = self.read("part").select("p_partkey", self.skill_name().alias("name"))
+        """``(job_id, name, skill_id)`` of every order line; keys made per part."""
+        part = assign_keys(
+            self.read("part").select("p_partkey", self.skill_name().alias("name")),
+            ["name"],
+            "skill_id",
+        )
         lines = self.read("lineitem").select("l_orderkey", "l_partkey")
         return lines.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
-            F.col("l_orderkey").cast("string").alias("job_id"), "name"
+            F.col("l_orderkey").cast("string").alias("job_id"), "name", "skill_id"
         )
 
     @cached_property
     def job_skills(self) -> DataFrame:
-        named = assign_keys(self.line_skills, ["name"], "skill_id")
-        return named.select("job_id", "skill_id").distinct()
+        return self.line_skills.select("job_id", "skill_id").distinct()
 
     @cached_property
     def tables(self) -> dict[str, DataFrame]:
