@@ -729,6 +729,12 @@ oracle(
         FROM placed LEFT JOIN described ON job_id = CAST(o_orderkey AS VARCHAR)""",
     "job_skills",
 )
+oracle(
+    "write_table",
+    """SELECT id, source, job_title, 'USD' AS salary_currency, CAST(salary_avg AS DOUBLE) AS salary_avg
+       FROM jobs""",
+    "jobs",
+)
 oracle(
     "load_market",
     f""", raw AS (SELECT j.id, j.is_remote_friendly, f.country, {COUNTRY_OF.format('f.country')} AS canonical

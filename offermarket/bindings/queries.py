@@ -44,7 +44,7 @@ from offermarket.plans import advising, loading, pricing
 from offermarket.plans.loading import Warehouse
 from offermarket.schemas import API_OFFER, MARKET_COLUMNS, SALARY_REQUEST
 from offermarket.skew import blocked_row_number
-from offermarket.sources import feeds, profiling
+from offermarket.sources import feeds, profiling, warehouse
 from offermarket.staging import new_folder, stage
 from offermarket.streaming import ingest
 from offermarket.vocabulary import API_SOURCE, MARKET_SOURCE
@@ -327,7 +327,8 @@ def api_offers(m: Market) -> DataFrame:
 
 @query
 def conform_api(m: Market) -> DataFrame:
-    conformed = conform.conform_api(api_offers(m), _some_countries(m), m.companies, ALIASES)
+    offers = stage(api_offers(m), "api-offers")
+    conformed = conform.conform_api(offers, _some_countries(m), m.companies, ALIASES)
     return conformed.select(
         "external_id",
         "source",
@@ -624,8 +625,8 @@ def title_salary(m: Market) -> DataFrame:
 
 
 def _scored(m: Market, method: str = "coverage") -> DataFrame:
-    profiles = matching.valid_profiles(m.profiles)
-    return matching.coverage_score(profiles, matching.title_requirements(m.rows), method)
+    needed = stage(matching.title_requirements(m.rows), "requirements")
+    return matching.coverage_score(matching.valid_profiles(m.profiles), needed, method)
 
 
 @query
@@ -1062,9 +1063,9 @@ def _land_pages(m: Market) -> str:
 
 
 def _new_warehouse(m: Market) -> Warehouse:
-    warehouse = Warehouse(m.spark, new_folder(m.spark, "warehouse"))
-    warehouse.put("countries", _some_countries(m), "start")
-    return warehouse
+    stored = Warehouse(m.spark, new_folder(m.spark, "warehouse"))
+    stored.put("countries", _some_countries(m), "start")
+    return stored
 
 
 @query
@@ -1088,12 +1089,21 @@ def read_offer_pages(m: Market) -> DataFrame:
     )
 
 
+@query
+def write_table(m: Market) -> DataFrame:
+    """Offers written by source and read back as a stored table."""
+    folder = new_folder(m.spark, "tables")
+    merge.write_table(conform.apply_defaults(m.jobs), f"{folder}/jobs")
+    stored = warehouse.read_warehouse_table(m.spark, "jobs", parquet_dir=folder)
+    return stored.select("id", "source", "job_title", "salary_currency", money("salary_avg"))
+
+
 @query
 def load_market(m: Market) -> DataFrame:
     """The same feed twice: the second load's report must show nothing new."""
-    warehouse, path = _new_warehouse(m), _land_market(m)
-    first = loading.load_market(warehouse, path, "first", ALIASES)
-    second = loading.load_market(warehouse, path, "second", ALIASES)
+    stored, path = _new_warehouse(m), _land_market(m)
+    first = loading.load_market(stored, path, "first", ALIASES)
+    second = loading.load_market(stored, path, "second", ALIASES)
     return first.withColumn("load", F.lit(1)).unionByName(second.withColumn("load", F.lit(2)))
 
 
@@ -1105,16 +1115,16 @@ def load_pages(m: Market) -> DataFrame:
 @query
 def ingest_incremental(m: Market) -> DataFrame:
     """Pages taken in by several batches: counts and pairs as in one load."""
-    warehouse = _new_warehouse(m)
+    stored = _new_warehouse(m)
     landing = _land_pages(m)
     files = max(1, m.spark.read.format("binaryFile").load(landing).count() // 3)
     ingest.ingest_incremental(
         m.spark,
         landing,
-        warehouse.path,
+        stored.path,
         new_folder(m.spark, "stream"),
         files_per_batch=files + 1,
         aliases=ALIASES,
         dictionary=PART_WORDS,
     ).awaitTermination()
-    return quality.table_counts(warehouse.tables())
+    return quality.table_counts(stored.tables())

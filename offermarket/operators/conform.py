@@ -13,7 +13,7 @@ from offermarket.functions.conforming import (
     parse_posted_date,
 )
 from offermarket.schemas import ARRIVAL, COMPANIES, COUNTRIES, JOBS, MONEY, SKILLS, TABLES
-from offermarket.skew import any_null
+from offermarket.skew import any_null, hot_join
 from offermarket.vocabulary import API_SOURCE, COUNTRY_ALIASES, MARKET_SOURCE
 
 
@@ -177,12 +177,18 @@ def conform_api(
     aliases: dict[str, str | None] = COUNTRY_ALIASES,
     strict_dates: bool = True,
 ) -> DataFrame:
-    """API offers flattened to the stored form; countries and companies known."""
+    """API offers flattened to the stored form; countries and companies known.
+
+    A company may have countless offers and many offers name none, so the
+    look-up of companies, too many to broadcast, spreads such groups.
+    """
     located = locate_offers(offers, countries, aliases)
     known = companies.filter(F.col("country_id").isNotNull()).select(
         F.col("id").alias("company_id"), F.col("name").alias("company_name"), "country_id"
     )
-    joined = located.join(known, ["company_name", "country_id"], "left")
+    pair = ["company_name", "country_id"]
+    counts = located.filter(~any_null(pair)).groupBy(*pair).agg(F.count(F.lit(1)).alias("n_rows"))
+    joined = hot_join(located, known, counts, pair, spread_by=[ARRIVAL], how="left")
     return joined.select(
         F.col("id").alias("external_id"),
         F.lit(API_SOURCE).alias("source"),
@@ -203,11 +209,9 @@ def conform_api(
     )
 
 
-def split_titled(offers: DataFrame) -> tuple[DataFrame, DataFrame]:
+def split_titled(offers: DataFrame, title: str = "title") -> tuple[DataFrame, DataFrame]:
     """Offers with a title, and those without, which the table refuses."""
-    return offers.filter(F.col("job_title").isNotNull()), offers.filter(
-        F.col("job_title").isNull()
-    )
+    return offers.filter(F.col(title).isNotNull()), offers.filter(F.col(title).isNull())
 
 
 def union_sources(*feeds: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from offermarket.functions.numbers import (
     percent_text,
     report_grade,
 )
-from offermarket.skew import hot_join, salted_lookup, spread
+from offermarket.skew import hot_join, salted_lookup, sized_join, spread
 from offermarket.vocabulary import (
     ALL_COUNTRIES,
     FULL_PROFILE,
@@ -104,8 +104,9 @@ def coverage_score(
     """Score of every profile and title of its scope that share a skill.
 
     Both sides are joined on scope and skill, one row per shared skill. The
-    profiles are spread by their key beforehand: with requirements small enough
-    for Spark to broadcast, counting and ranking need no further shuffle.
+    requirements, which are read twice and should be staged, are counted first:
+    up to a bound they are broadcast, and as the profiles are spread by their
+    key beforehand, counting and ranking then need no further shuffle.
     """
     if method not in ("coverage", "dice"):
         raise ValueError(f"unknown method {method}")
@@ -115,8 +116,9 @@ def coverage_score(
     needed = requirements.select(
         *_TITLE, F.size("required").alias("n_required"), F.explode("required").alias("skill")
     )
+    n_needed = requirements.agg(F.sum(F.size("required"))).first()[0] or 0
     matched = (
-        owned.join(needed, ["scope", "skill"])
+        sized_join(owned, needed, n_needed, ["scope", "skill"], ["profile_id"])
         .groupBy("profile_id", *_TITLE, "n_owned", "n_required")
         .agg(F.count(F.lit(1)).alias("n_matched"))
     )

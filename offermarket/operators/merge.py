@@ -34,19 +34,30 @@ def insert_if_absent(
 ) -> DataFrame:
     """Rows of ``incoming`` to append: keys already stored are left alone.
 
-    NULL keys never conflict, so those rows are all new. They are kept out of
-    the join, where they would all land in one task.
+    NULL keys never conflict, so those rows are all new.
+    """
+    return not_stored(target, first_wins(incoming, keys, order_by), keys)
+
+
+def not_stored(target: DataFrame, firsts: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``firsts`` (one per key) whose key is not stored.
+
+    The stored keys are cut down to those that arrive before they are taken
+    away. A small load is thus the side Spark can broadcast, and the stored
+    table, however large, is scanned but not shuffled. Rows with a NULL key are
+    kept out of the joins, where they would all land in one task.
     """
     missing = any_null(keys)
-    firsts = _first_of_keyed(incoming.filter(~missing), keys, order_by)
+    keyed = firsts.filter(~missing)
     stored = target.select(*keys).filter(~missing)
-    return firsts.join(stored, keys, "left_anti").unionByName(incoming.filter(missing))
+    conflicts = stored.join(keyed.select(*keys), keys, "left_semi")
+    return keyed.join(conflicts, keys, "left_anti").unionByName(firsts.filter(missing))
 
 
 def insert_job_skills(target: DataFrame, incoming: DataFrame) -> DataFrame:
     """Bridge pairs not stored yet."""
     pairs = ["job_id", "skill_id"]
-    return incoming.select(*pairs).distinct().join(target.select(*pairs), pairs, "left_anti")
+    return not_stored(target, incoming.select(*pairs).distinct(), pairs)
 
 
 def write_table(

@@ -32,7 +32,10 @@ def build_job_skills(
     jobs: DataFrame, skills: DataFrame, dictionary: list[str] = DETECTED_SKILLS
 ) -> DataFrame:
     """Bridge pairs of ``jobs``; skills have to be stored first."""
+    return bridge_pairs(offer_skill_names(jobs, dictionary), skills)
+
+
+def bridge_pairs(names: DataFrame, skills: DataFrame) -> DataFrame:
+    """``(job_id, name)`` rows as pairs of keys."""
     known = skills.select(F.col("id").alias("skill_id"), "name")
-    return (
-        offer_skill_names(jobs, dictionary).join(known, "name").select("job_id", "skill_id")
-    )
+    return names.join(known, "name").select("job_id", "skill_id")

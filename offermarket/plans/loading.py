@@ -10,15 +10,16 @@ import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from offermarket.operators import conform, merge, quality
-from offermarket.operators.skills import build_job_skills, offer_skill_names
+from offermarket.operators.skills import bridge_pairs, offer_skill_names
 from offermarket.schemas import ARRIVAL, TABLES
 from offermarket.sources.feeds import read_market_csv, read_offer_pages
 from offermarket.sources.seeds import seed_dimensions
 from offermarket.sources.warehouse import read_warehouse_table
 from offermarket.staging import stage
-from offermarket.vocabulary import COUNTRY_ALIASES, DETECTED_SKILLS
+from offermarket.vocabulary import API_SOURCE, COUNTRY_ALIASES, DETECTED_SKILLS, MARKET_SOURCE
 
 OFFER_KEY = ["external_id", "source"]
 Aliases = dict[str, str | None]
@@ -39,9 +40,11 @@ class Warehouse:
     def tables(self) -> dict[str, DataFrame]:
         return {name: self.table(name) for name in TABLES}
 
-    def put(self, name: str, rows: DataFrame, load_id: str) -> None:
-        """The rows of one load, in its own folder."""
-        merge.write_table(rows, f"{self.path}/{name}/load={load_id}", mode="overwrite")
+    def put(self, name: str, rows: DataFrame, load_id: str) -> DataFrame:
+        """Write the rows of one load to its own folder; returns them as stored."""
+        folder = f"{self.path}/{name}/load={load_id}"
+        merge.write_table(rows, folder, mode="overwrite")
+        return self.spark.read.schema(TABLES[name]).parquet(folder)
 
 
 def seed_warehouse(warehouse: Warehouse, load_id: str = "seed") -> None:
@@ -49,8 +52,8 @@ def seed_warehouse(warehouse: Warehouse, load_id: str = "seed") -> None:
     countries, skills = seed_dimensions(
         warehouse.table("countries", load_id), warehouse.table("skills", load_id)
     )
-    warehouse.put("countries", stage(countries, "countries"), load_id)
-    warehouse.put("skills", stage(skills, "skills"), load_id)
+    warehouse.put("countries", countries, load_id)
+    warehouse.put("skills", skills, load_id)
 
 
 def load_market(
@@ -59,9 +62,11 @@ def load_market(
     """Load a market CSV; returns the load report."""
     raw = stage(read_market_csv(warehouse.spark, path), "market-raw")
     countries = warehouse.table("countries")
-    _, rejected = conform.split_known_country(raw, countries, aliases)
-    accepted = conform.conform_market(raw, countries, aliases)
-    return _load_offers(warehouse, raw, accepted, rejected, load_id or uuid.uuid4().hex)
+    accepted, rejected = conform.split_known_country(raw, countries, aliases)
+    offers = conform.conform_market(raw, countries, aliases)
+    return _load_offers(
+        warehouse, raw, accepted, rejected, offers, MARKET_SOURCE, load_id or uuid.uuid4().hex
+    )
 
 
 def load_pages(
@@ -85,19 +90,29 @@ def load_offers_of_pages(
     aliases: Aliases = COUNTRY_ALIASES,
     dictionary: list[str] = DETECTED_SKILLS,
 ) -> DataFrame:
-    """Load API offers: new countries and companies first, then the offers."""
+    """Load API offers: new countries and companies first, then the offers.
+
+    The pages are staged once as columns: countries and companies then read the
+    few columns they need instead of parsing the JSON again.
+    """
     raw = stage(offers, "pages-raw")
-    new_countries = conform.add_missing_countries(
-        raw, warehouse.table("countries", load_id), aliases
+    warehouse.put(
+        "countries",
+        conform.add_missing_countries(raw, warehouse.table("countries", load_id), aliases),
+        load_id,
     )
-    warehouse.put("countries", stage(new_countries, "countries"), load_id)
     countries = warehouse.table("countries")
     located = conform.locate_offers(raw, countries, aliases)
-    new_companies = conform.upsert_companies(located, warehouse.table("companies", load_id))
-    warehouse.put("companies", stage(new_companies, "companies"), load_id)
-    conformed = conform.conform_api(raw, countries, warehouse.table("companies"), aliases)
-    accepted, rejected = conform.split_titled(conformed)
-    return _load_offers(warehouse, raw, accepted, rejected, load_id, dictionary)
+    warehouse.put(
+        "companies",
+        conform.upsert_companies(located, warehouse.table("companies", load_id)),
+        load_id,
+    )
+    accepted, rejected = conform.split_titled(raw)
+    conformed = conform.conform_api(accepted, countries, warehouse.table("companies"), aliases)
+    return _load_offers(
+        warehouse, raw, accepted, rejected, conformed, API_SOURCE, load_id, dictionary
+    )
 
 
 def _load_offers(
@@ -105,20 +120,21 @@ def _load_offers(
     raw: DataFrame,
     accepted: DataFrame,
     rejected: DataFrame,
+    conformed: DataFrame,
+    source: str,
     load_id: str,
     dictionary: list[str] = DETECTED_SKILLS,
 ) -> DataFrame:
-    # Staged before anything is written: new offers feed three tables, and the
-    # look-ups must not see what this load adds.
-    stored = warehouse.table("jobs", load_id)
-    new_rows = merge.insert_if_absent(stored, accepted, OFFER_KEY, [ARRIVAL])
-    offers = stage(conform.finish_offers(new_rows, load_id), "offers")
-    names = offer_skill_names(offers, dictionary)
-    new_skills = stage(conform.upsert_skills(names, warehouse.table("skills", load_id)), "skills")
+    # One source is one folder, so only that part of the stored offers is read.
+    stored = warehouse.table("jobs", load_id).filter(F.col("source") == source)
+    firsts = stage(merge.first_wins(conformed, OFFER_KEY, [ARRIVAL]), "firsts")
+    new_rows = merge.not_stored(stored, firsts, OFFER_KEY)
+    offers = warehouse.put("jobs", conform.finish_offers(new_rows, load_id), load_id)
+    # Staged, because texts are searched once for new skills and for the bridge.
+    names = stage(offer_skill_names(offers, dictionary), "offer-skills")
+    new_skills = conform.upsert_skills(names, warehouse.table("skills", load_id))
     warehouse.put("skills", new_skills, load_id)
-    pairs = build_job_skills(offers, warehouse.table("skills"), dictionary)
-    bridge = merge.insert_job_skills(warehouse.table("job_skills", load_id), pairs)
-    bridge = stage(bridge, "job-skills")
-    warehouse.put("jobs", offers, load_id)
-    warehouse.put("job_skills", bridge, load_id)
+    # The offers are new and their skills distinct: no pair can be stored yet.
+    pairs = bridge_pairs(names, warehouse.table("skills"))
+    bridge = warehouse.put("job_skills", pairs, load_id)
     return quality.load_report(raw, accepted, rejected, offers, bridge)

@@ -7,6 +7,13 @@ from pyspark.sql import functions as F
 
 SALTS = 32
 BLOCK = 10_000
+# Rows a lookup side may have to be broadcast for sure.
+BROADCAST_ROWS = 1_000_000
+
+
+def _check(how: str) -> None:
+    if how not in ("inner", "left"):
+        raise ValueError("only inner and left joins keep their meaning when salted")
 
 
 def salted_lookup(
@@ -21,9 +28,9 @@ def salted_lookup(
 
     Each key of ``facts`` is divided into ``salts`` parts by a hash of
     ``spread_by``; the lookup side, small by nature, is repeated once per part.
+    Rows with a NULL key are spread as well, although they match nothing.
     """
-    if how not in ("inner", "left"):
-        raise ValueError("only inner and left joins keep their meaning when salted")
+    _check(how)
     salted = facts.withColumn(
         "_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
     )
@@ -75,23 +82,44 @@ def any_null(columns: list[str]) -> Column:
     return result
 
 
+def sized_join(
+    facts: DataFrame,
+    lookup: DataFrame,
+    lookup_rows: int,
+    on: list[str],
+    spread_by: list[str],
+    limit: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """Inner join that broadcasts the lookup side up to ``limit`` rows.
+
+    Beyond it, the join is a shuffled one with every key spread out: where a key
+    joins many rows with many, it is the pairs that pile up in a task, which no
+    size of the input shows. ``lookup_rows`` is an exact count.
+    """
+    if lookup_rows <= limit:
+        return facts.join(F.broadcast(lookup), on)
+    return salted_lookup(facts, lookup.hint("merge"), on, spread_by)
+
+
 def hot_join(
     facts: DataFrame,
     lookup: DataFrame,
     counts: DataFrame,
     on: list[str],
     spread_by: list[str],
+    how: str = "inner",
     share: float = 0.001,
     salts: int = SALTS,
 ) -> DataFrame:
-    """Inner join that spreads only the keys holding more than ``share`` of ``facts``.
+    """Join that spreads only the keys holding more than ``share`` of ``facts``.
 
     ``counts`` tells the rows (``n_rows``) of ``facts`` per key, usually from an
     aggregate that exists anyway. At most ``1 / share`` keys can pass the test,
     whatever the data: that bound is what allows their list to be broadcast.
     All other keys join as usual, and the lookup side is repeated for hot keys
-    only, so it may be as large as ``facts``.
+    only, so it may be as large as ``facts``. Rows with a NULL key are spread too.
     """
+    _check(how)
     total = counts.agg(F.sum("n_rows")).scalar()
     hot = F.broadcast(
         counts.filter(F.col("n_rows") > F.lit(share) * total).select(
@@ -100,10 +128,10 @@ def hot_join(
     )
     part = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
     salted = facts.join(hot, on, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), part).otherwise(0)
+        "_salt", F.when(F.col("_hot") | any_null(on), part).otherwise(0)
     )
     parts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1)))
     repeated = lookup.join(hot, on, "left").withColumn(
         "_salt", F.explode(F.coalesce(parts, F.array(F.lit(0))))
     )
-    return salted.drop("_hot").join(repeated.drop("_hot"), [*on, "_salt"]).drop("_salt")
+    return salted.drop("_hot").join(repeated.drop("_hot"), [*on, "_salt"], how).drop("_salt")

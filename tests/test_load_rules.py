@@ -4,7 +4,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from offermarket.operators import conform, merge, quality
-from offermarket.skew import blocked_row_number, hot_join, salted_lookup
+from offermarket.skew import blocked_row_number, hot_join, salted_lookup, sized_join
 from offermarket.sources.warehouse import jdbc_options
 
 
@@ -77,6 +77,19 @@ def test_skewed_joins_keep_every_row(spark):
     assert rows(hot_join(facts, lookup, counts, ["k"], ["id"]), "id", "v") == plain
     left = salted_lookup(facts, lookup.filter("v = 3"), ["k"], ["id"], how="left")
     assert left.count() == 3000
+    for limit in (0, 10):
+        assert rows(sized_join(facts, lookup, 3, ["k"], ["id"], limit), "id", "v") == plain
+
+
+def test_hot_left_join_keeps_null_keys(spark):
+    facts = spark.range(900).select(
+        F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, "cold").alias("k"), "id"
+    )
+    lookup = spark.createDataFrame([("hot", 1), (None, 5)], "k string, v int")
+    counts = facts.filter("k is not null").groupBy("k").agg(F.count("*").alias("n_rows"))
+    for share in (0.001, 0.9):
+        got = hot_join(facts, lookup, counts, ["k"], ["id"], how="left", share=share)
+        assert rows(got, "id", "v") == rows(facts.join(lookup, "k", "left"), "id", "v")
 
 
 def test_blocked_row_number(spark):
