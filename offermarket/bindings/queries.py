@@ -134,10 +134,11 @@ def insert_job_skills(m: Market) -> DataFrame:
 
 @query
 def delete_cascade(m: Market) -> DataFrame:
-    """Delete the offers of debtors; what remains is counted per skill."""
+    """Delete the offers of debtors; the pairs that remain, by name."""
     debtors = m.jobs.filter(F.col("country_id").isNull()).select(F.col("id").alias("job_id"))
     kept = merge.delete_cascade(m.job_skills, debtors, "job_id")
-    return market.top_skills(kept, m.skills, n=10_000)
+    names = m.skills.select(F.col("id").alias("skill_id"), "name")
+    return kept.join(names, "skill_id").select("job_id", "name")
 
 
 @query
@@ -626,7 +627,8 @@ def title_salary(m: Market) -> DataFrame:
 
 def _scored(m: Market, method: str = "coverage") -> DataFrame:
     needed = stage(matching.title_requirements(m.rows), "requirements")
-    return matching.coverage_score(matching.valid_profiles(m.profiles), needed, method)
+    profiles = stage(matching.valid_profiles(m.profiles), "profiles")
+    return matching.coverage_score(profiles, needed, method)
 
 
 @query

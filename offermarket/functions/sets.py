@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-WORDS = 4
+WORDS = 8
 
 
 def signature(items: Column, words: int = WORDS) -> Column:
