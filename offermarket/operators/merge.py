@@ -34,30 +34,32 @@ def insert_if_absent(
 ) -> DataFrame:
     """Rows of ``incoming`` to append: keys already stored are left alone.
 
-    NULL keys never conflict, so those rows are all new.
+    NULL keys never conflict, so those rows are all new. They are kept out of
+    the joins, where they would all land in one task.
     """
-    return not_stored(target, first_wins(incoming, keys, order_by), keys)
+    missing = any_null(keys)
+    keyed = incoming.filter(~missing)
+    conflicts = stored_keys(target, keyed, keys)
+    new = _first_of_keyed(keyed, keys, order_by).join(conflicts, keys, "left_anti")
+    return new.unionByName(incoming.filter(missing))
 
 
-def not_stored(target: DataFrame, firsts: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``firsts`` (one per key) whose key is not stored.
+def stored_keys(target: DataFrame, keyed: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys of ``keyed`` that are stored already.
 
-    The stored keys are cut down to those that arrive before they are taken
-    away. A small load is thus the side Spark can broadcast, and the stored
-    table, however large, is scanned but not shuffled. Rows with a NULL key are
-    kept out of the joins, where they would all land in one task.
+    The stored keys are cut down to those that arrive. A small load is thus the
+    side Spark can broadcast, and the stored table, however large, is scanned
+    but not shuffled. Of the load only the key columns are read for it.
     """
-    missing = any_null(keys)
-    keyed = firsts.filter(~missing)
-    stored = target.select(*keys).filter(~missing)
-    conflicts = stored.join(keyed.select(*keys), keys, "left_semi")
-    return keyed.join(conflicts, keys, "left_anti").unionByName(firsts.filter(missing))
+    stored = target.select(*keys).filter(~any_null(keys))
+    return stored.join(keyed.select(*keys), keys, "left_semi")
 
 
 def insert_job_skills(target: DataFrame, incoming: DataFrame) -> DataFrame:
     """Bridge pairs not stored yet."""
     pairs = ["job_id", "skill_id"]
-    return not_stored(target, incoming.select(*pairs).distinct(), pairs)
+    conflicts = stored_keys(target, incoming, pairs)
+    return incoming.select(*pairs).distinct().join(conflicts, pairs, "left_anti")
 
 
 def write_table(

@@ -127,8 +127,7 @@ def _load_offers(
 ) -> DataFrame:
     # One source is one folder, so only that part of the stored offers is read.
     stored = warehouse.table("jobs", load_id).filter(F.col("source") == source)
-    firsts = stage(merge.first_wins(conformed, OFFER_KEY, [ARRIVAL]), "firsts")
-    new_rows = merge.not_stored(stored, firsts, OFFER_KEY)
+    new_rows = merge.insert_if_absent(stored, conformed, OFFER_KEY, [ARRIVAL])
     offers = warehouse.put("jobs", conform.finish_offers(new_rows, load_id), load_id)
     # Staged, because texts are searched once for new skills and for the bridge.
     names = stage(offer_skill_names(offers, dictionary), "offer-skills")
