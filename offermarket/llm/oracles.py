@@ -24,10 +24,33 @@ kept AS (
   FROM marked GROUP BY doc_id)"""
 
 
+WORDS = f"regexp_extract_all(translate(coalesce(text, ''), {LOWER}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
 ORACLES = {
     "op2_line_dedup": f"""
 WITH {line_dedup("documents")}
 SELECT doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM kept""",
+    "op4_suffix_decontamination": f"""
+WITH docs AS (SELECT doc_id, {WORDS} AS w FROM documents),
+items AS (SELECT item_id, w, least(len(w), 10) AS k FROM (SELECT item_id, {WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+windows AS (
+  SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS words
+  FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM items)),
+places AS (
+  SELECT doc_id, i, k, array_to_string(w[i:i + k - 1], ' ') AS words
+  FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i
+        FROM docs CROSS JOIN (SELECT DISTINCT k FROM items) WHERE len(w) >= k)),
+found AS (SELECT doc_id, i, k, item_id FROM places JOIN windows USING (k, words)),
+hits AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit
+  FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM found) GROUP BY doc_id),
+named AS (
+  SELECT doc_id, count(DISTINCT item_id) AS n_items,
+         string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids
+  FROM found GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)""",
     "op9_exact_dedup": """
 WITH bare AS (
   SELECT doc_id, length(coalesce(text, '')) AS n,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offermarket.llm import exact_dedup, line_dedup, sharding
+from offermarket.llm import decontaminate, exact_dedup, line_dedup, sharding
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -17,6 +17,20 @@ def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op4_suffix_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.find_matches(
+        table(spark, folder, "documents"), table(spark, folder, "benchmark"), carry=["doc_id"]
+    )
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op6_feistel_sharding(spark: SparkSession, folder: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = table(spark, folder, "documents").select(
@@ -44,6 +58,7 @@ def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
+    "op4_suffix_decontamination": op4_suffix_decontamination,
     "op6_feistel_sharding": op6_feistel_sharding,
     "op9_exact_dedup": op9_exact_dedup,
 }
