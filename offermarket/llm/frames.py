@@ -21,9 +21,12 @@ def field(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def pack(df: DataFrame, **named: Column) -> DataFrame:
-    """The columns an operator works on, and one struct ``_rest`` with every input column."""
-    return df.select(*[c.alias(n) for n, c in named.items()], F.struct(*[field(c) for c in df.columns]).alias(REST))
+def pack(df: DataFrame, carried: list[str] | None = None, **named: Column) -> DataFrame:
+    """The columns an operator works on, and one struct ``_rest`` with the input columns (or those carried)."""
+    rest = df.columns if carried is None else carried
+    # A constant keeps the struct from being empty where nothing is carried.
+    whole = F.struct(*[field(c) for c in rest]) if rest else F.struct(F.lit(0).alias("none"))
+    return df.select(*[c.alias(n) for n, c in named.items()], whole.alias(REST))
 
 
 def unpack(df: DataFrame, columns: list[str], **results: Column) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offermarket.llm import decontaminate, exact_dedup, line_dedup, sharding
+from offermarket.llm import byte_bpe, decontaminate, exact_dedup, line_dedup, sharding
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -17,6 +18,24 @@ def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def vocabulary() -> byte_bpe.Vocabulary:
+    return byte_bpe.load_vocabulary(
+        public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    )
+
+
+def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    ranks = vocabulary()
+    encoded = byte_bpe.encode(table(spark, folder, "documents"), ranks, carry=["doc_id"]).select(
+        "doc_id",
+        "ids",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+    )
+    decoded = byte_bpe.decode(encoded, ranks, carry=["doc_id", "n_tokens", "ids_sha256"])
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op4_suffix_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.find_matches(
         table(spark, folder, "documents"), table(spark, folder, "benchmark"), carry=["doc_id"]
@@ -58,6 +77,7 @@ def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
+    "op3_byte_bpe": op3_byte_bpe,
     "op4_suffix_decontamination": op4_suffix_decontamination,
     "op6_feistel_sharding": op6_feistel_sharding,
     "op9_exact_dedup": op9_exact_dedup,
