@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offermarket.llm import byte_bpe, decontaminate, exact_dedup, line_dedup, sharding
+from offermarket.llm import byte_bpe, decontaminate, exact_dedup, line_dedup, near_dedup, sharding
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -70,6 +70,11 @@ def op6_feistel_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    classes = near_dedup.near_classes(table(spark, folder, "documents"), carry=["doc_id"])
+    return classes.select("doc_id", "class_id", "class_size", "kept")
+
+
 def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     groups = exact_dedup.exact_groups(table(spark, folder, "documents"), digest_all=True)
     return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -80,5 +85,6 @@ QUERIES = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_suffix_decontamination": op4_suffix_decontamination,
     "op6_feistel_sharding": op6_feistel_sharding,
+    "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op9_exact_dedup": op9_exact_dedup,
 }
