@@ -51,7 +51,3 @@ def without_blanks(text: Column) -> Column:
         text = F.replace(text, F.lit(blank), F.lit(""))
     return text
 
-
-def held_out(doc_id: Column, mod: int, remainder: int) -> Column:
-    """Whether crc32 of the id as text leaves ``remainder``; a NULL id counts as empty text."""
-    return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(mod)) == remainder

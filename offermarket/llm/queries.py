@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offermarket.llm import byte_bpe, decontaminate, exact_dedup, line_dedup, near_dedup, sharding
+from offermarket.llm import byte_bpe, decontaminate, exact_dedup, line_dedup, near_dedup, quality, sharding
+from offermarket.llm.labelled import held_out
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -50,6 +51,16 @@ def op4_suffix_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    scores, _ = quality.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return scores.select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= quality.LEAST_SCORE).cast("int").alias("predicted"),
+    )
+
+
 def op6_feistel_sharding(spark: SparkSession, folder: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = table(spark, folder, "documents").select(
@@ -84,6 +95,7 @@ QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_suffix_decontamination": op4_suffix_decontamination,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_feistel_sharding": op6_feistel_sharding,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op9_exact_dedup": op9_exact_dedup,

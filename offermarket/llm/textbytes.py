@@ -31,9 +31,12 @@ ALNUM[48:58] = ALNUM[65:91] = ALNUM[97:123] = ALNUM[128:] = True
 #: Bytes of words ``[^\x20\x09-\x0D]+``.
 SOLID = np.ones(256, dtype=bool)
 SOLID[[9, 10, 11, 12, 13, 32]] = False
+#: Bytes of lines.
+LINE = np.ones(256, dtype=bool)
+LINE[10] = False
 # A value per byte, the same for A-Z and a-z.
 _VALUE = mix(_FOLD.astype(np.uint64) + np.uint64(0x51ED270B))
-_VALUE_OF = {id(kind): np.where(kind, _VALUE, np.uint64(0)) for kind in (ALNUM, SOLID)}
+_VALUE_OF = {id(kind): np.where(kind, _VALUE, np.uint64(0)) for kind in (ALNUM, SOLID, LINE)}
 
 
 def _powers(n: int) -> np.ndarray:
