@@ -86,7 +86,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     upper, digit, symbol, ends, odd, breaks = kinds
     letters = _per_row((textbytes.ALNUM[data] & (_KIND[:, 1][data] == 0)).astype(np.int64), offsets)
     hashes, words = textbytes.words(data, offsets, textbytes.SOLID)
-    lengths, _ = textbytes.word_lengths(data, offsets, textbytes.SOLID)
+    _, lengths, _ = textbytes.spans(data, offsets, textbytes.SOLID)
     row = np.repeat(np.arange(rows), words)
     where = np.concatenate(([0], np.cumsum(words)))
     mean = _per_row(lengths, where) / np.maximum(words, 1)

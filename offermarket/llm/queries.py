@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offermarket.llm import byte_bpe, decontaminate, exact_dedup, line_dedup, near_dedup, quality, sharding
+from offermarket.llm import byte_bpe, decontaminate, exact_dedup, line_dedup, near_dedup, quality, sharding, toxicity
 from offermarket.llm.labelled import held_out
 
 
@@ -91,6 +91,17 @@ def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    scores = toxicity.toxicity_scores(docs, table(spark, folder, "labels"), carry=["doc_id"])
+    return scores.select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_byte_bpe": op3_byte_bpe,
@@ -99,4 +110,5 @@ QUERIES = {
     "op6_feistel_sharding": op6_feistel_sharding,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_toxicity": op10_toxicity,
 }

@@ -34,9 +34,12 @@ SOLID[[9, 10, 11, 12, 13, 32]] = False
 #: Bytes of lines.
 LINE = np.ones(256, dtype=bool)
 LINE[10] = False
+#: Bytes of letters: A-Z, a-z, all beyond ASCII.
+LETTERS = ALNUM.copy()
+LETTERS[48:58] = False
 # A value per byte, the same for A-Z and a-z.
 _VALUE = mix(_FOLD.astype(np.uint64) + np.uint64(0x51ED270B))
-_VALUE_OF = {id(kind): np.where(kind, _VALUE, np.uint64(0)) for kind in (ALNUM, SOLID, LINE)}
+_VALUE_OF = {id(kind): np.where(kind, _VALUE, np.uint64(0)) for kind in (ALNUM, SOLID, LINE, LETTERS)}
 
 
 def _powers(n: int) -> np.ndarray:
@@ -94,8 +97,10 @@ def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = ALNUM) -> tu
     return hashes, counts
 
 
-def word_lengths(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = ALNUM) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of all words, and how many words each row has."""
+def spans(
+    data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = ALNUM
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and bytes of all words, and how many words each row has."""
     inside = kind[data].astype(np.int8)
     edges = np.diff(np.concatenate(([0], inside, [0])))
     # A row's end also ends a word, and the next row's start begins one.
@@ -104,4 +109,12 @@ def word_lengths(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = ALNUM
     joined = cut[(inside[cut - 1] == 1) & (inside[cut] == 1)] if len(cut) else cut
     starts = np.sort(np.concatenate((np.flatnonzero(edges == 1), joined)))
     ends = np.sort(np.concatenate((np.flatnonzero(edges == -1), joined)))
-    return ends - starts, np.diff(np.searchsorted(starts, offsets))
+    return starts, ends - starts, np.diff(np.searchsorted(starts, offsets))
+
+
+def prefix_hashes(data: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the first ``size`` bytes from each start, A-Z lower-cased; the words must be as long."""
+    total = np.full(len(starts), np.uint64(size))
+    for j in range(size):
+        total = total + _VALUE[data[starts + j]] * _POWERS[j + 1]
+    return mix(total)
