@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offermarket.llm import byte_bpe, decontaminate, exact_dedup, line_dedup, main_text, near_dedup, quality, sharding, toxicity
+from offermarket.llm import byte_bpe, decontaminate, exact_dedup, line_dedup, lm_scoring, main_text, near_dedup, quality, sharding, toxicity
 from offermarket.llm.labelled import held_out
 
 
@@ -91,6 +91,21 @@ def op7_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return classes.select("doc_id", "class_id", "class_size", "kept")
 
 
+def op8_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    out = held_out(F.col("doc_id"), mod=7, remainder=2)
+    scores, model = lm_scoring.train_and_score(table(spark, folder, "documents"), ~out, carry=["doc_id"])
+    return scores.select(
+        "doc_id",
+        out.alias("held_out"),
+        "n_tokens",
+        "n_known",
+        F.lit(model.tokens).cast("long").alias("train_tokens"),
+        "base_score",
+        "score",
+        "perplexity",
+    )
+
+
 def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     groups = exact_dedup.exact_groups(table(spark, folder, "documents"), digest_all=True)
     return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -115,6 +130,7 @@ QUERIES = {
     "op5_quality_classifier": op5_quality_classifier,
     "op6_feistel_sharding": op6_feistel_sharding,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_toxicity": op10_toxicity,
 }
