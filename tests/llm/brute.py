@@ -15,7 +15,7 @@ def words(text: str | None) -> list[str]:
 def shingle_set(text: str | None, size: int = 5) -> frozenset:
     found = words(text)
     if not found:
-        return frozenset()
+        return frozenset([text or ""])
     return frozenset(tuple(found[i : i + size]) for i in range(max(1, len(found) - size + 1)))
 
 
@@ -24,7 +24,7 @@ def near_classes(texts: dict, similarity: float = 0.8) -> dict:
     sets = {d: shingle_set(t) for d, t in texts.items()}
     by_set: dict = {}
     for d, s in sets.items():
-        by_set.setdefault(s if s else d, []).append(d)
+        by_set.setdefault(s, []).append(d)
     nodes = [members[0] for members in by_set.values()]
     parent = {d: d for d in texts}
 
