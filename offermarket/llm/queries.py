@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 
 from offermarket.llm import byte_bpe, decontaminate, exact_dedup, line_dedup, lm_scoring, main_text, near_dedup, quality, sharding, toxicity
 from offermarket.llm.labelled import held_out
+from offermarket.llm.shipping import ship
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A given table; tasks that read it can import this package."""
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

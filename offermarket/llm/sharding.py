@@ -84,29 +84,30 @@ def numbered_rows(rows: DataFrame, n: int, name: str = "row_number") -> DataFram
     of numbers together, and are expanded again after the ranges were dealt out, so
     that no task holds all copies of a row. NULLs are values like any other.
     """
-    columns = [field(c) for c in rows.columns]
+    # Names of their own, so that no input column clashes with those used here.
+    mine = [f"_{i}" for i in range(len(rows.columns))]
     buckets = max(MIN_BUCKETS, -(-n // BUCKET_ROWS))
     counted = (
-        rows.select(F.struct(*columns).alias("row"), F.spark_partition_id().alias("part"))
-        .groupBy("row", "part")
+        rows.select(*[field(c).alias(m) for c, m in zip(rows.columns, mine)], F.spark_partition_id().alias("part"))
+        .groupBy(*mine, "part")
         .agg(F.count(F.lit(1)).alias("copies"))
-        .withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)))
+        .withColumn("bucket", F.pmod(F.xxhash64(*mine), F.lit(buckets)))
     )
     before = Window.rowsBetween(Window.unboundedPreceding, -1)
     sizes = counted.groupBy("bucket").agg(F.sum("copies").alias("size"))
     # One row per bucket: their number is set by BUCKET_ROWS.
     offsets = sizes.select("bucket", F.coalesce(F.sum("size").over(before.orderBy("bucket")), F.lit(0)).alias("offset"))
-    inside = before.partitionBy("bucket").orderBy("row", "part")
+    inside = before.partitionBy("bucket").orderBy(*mine, "part")
     starts = (
         counted.withColumn("start", F.coalesce(F.sum("copies").over(inside), F.lit(0)))
         .join(offsets, "bucket")
-        .select("row", "copies", (F.col("start") + F.col("offset")).alias("start"))
+        .select(*mine, "copies", (F.col("start") + F.col("offset")).alias("start"))
         .repartition("start")
     )
     numbers = starts.select(
-        "row", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("copies") - 1)).alias("number")
+        *mine, F.explode(F.sequence(F.col("start"), F.col("start") + F.col("copies") - 1)).alias("number")
     )
-    kept = [F.col("row").getField(c).alias(c) for c in rows.columns if c.lower() != name.lower()]
+    kept = [F.col(m).alias(c) for c, m in zip(rows.columns, mine) if c.lower() != name.lower()]
     return numbers.select(*kept, F.col("number").alias(name))
 
 
