@@ -69,7 +69,7 @@ LINKS_OUTSIDE, LINKS_INSIDE = 0.33, 0.75
 FEW_STOP_WORDS, MANY_STOP_WORDS = 0.12, 0.2
 
 _TAG = re.compile(
-    r"<!--.*?(?:-->|--!>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)>|<[!?/][^>]*(?:>|\Z)",
+    r"<!--.*?(?:-->|--!>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^<>]*\Z",
     re.S,
 )
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -158,7 +158,7 @@ def blocks_of(page: str) -> tuple[list[Block], list[tuple[str, int]]]:
     at = 0
     while at < len(page):
         match = _TAG.search(page, at)
-        # A tag that is never closed is no tag; its text stays.
+        # What looks like a tag but is not closed before the next one is text; at the end of a page it is cut off.
         end = match.start() if match else len(page)
         if end > at:
             add(html.unescape(page[at:end]))

@@ -104,6 +104,8 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     begins[firsts] = solid[firsts]
     title = _per_row((begins & (_KIND[:, 0][data] == 1)).astype(np.int64), offsets)
     last = np.append(solid[:-1] & ~solid[1:], solid[-1:])
+    finals = offsets[1:][size > 0] - 1
+    last[finals] = solid[finals]
     marked = _per_row((last & (_KIND[:, 4][data] == 1)).astype(np.int64), offsets)
     # Lines are the words of another alphabet: everything but the line end.
     line_hash, lines = textbytes.words(data, offsets, textbytes.LINE)

@@ -169,6 +169,15 @@ def hidden_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     """Starts and ends of the spans that may hide a word, in order and apart from each other."""
     if len(data) == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    # A line end between texts keeps the end of one from being read with the start of the next.
+    parted = offsets + np.arange(len(offsets))
+    begin, finish = _spans_of(np.insert(data, offsets[1:-1], 10), np.append(parted[:-1], parted[-1] - 1))
+    text = np.searchsorted(parted, begin, side="right") - 1
+    return begin - text, finish - text
+
+
+def _spans_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The spans of texts that each end in a line end, which belongs to them."""
     starts, lengths, counts = textbytes.spans(data, offsets, textbytes.SOLID)
     if not len(starts):
         return starts, lengths
@@ -205,7 +214,7 @@ def hidden_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     hits[which[flags]] = True
     # Most of its letters doubled.
     doubles = np.bincount(which, weights=(plain & same)[where], minlength=len(starts))
-    hits |= 3 * doubles >= lengths
+    hits |= (doubles > 1) & (3 * doubles >= lengths)
     hits &= np.bincount(which, weights=letter[where], minlength=len(starts)) > 0
     # Three single characters in a row, not all the same.
     first = data[starts]
