@@ -754,7 +754,8 @@ oracle(
         UNION ALL SELECT load, 'rejected', n_read - n_good FROM reports
         UNION ALL SELECT load, 'inserted', n_new FROM reports
         UNION ALL SELECT load, 'job_skills inserted', n_pairs FROM reports
-        UNION ALL SELECT load, 'duplicate', n_good - n_new FROM reports""",
+        UNION ALL SELECT load, 'duplicate', n_good - n_new FROM reports
+        UNION ALL SELECT load, 'corrupt', 0 FROM reports""",
     "jobs",
     "job_skills",
 )

@@ -1067,6 +1067,7 @@ def _land_pages(m: Market) -> str:
 def _new_warehouse(m: Market) -> Warehouse:
     stored = Warehouse(m.spark, new_folder(m.spark, "warehouse"))
     stored.put("countries", _some_countries(m), "start")
+    stored.publish("start")
     return stored
 
 

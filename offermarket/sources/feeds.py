@@ -2,32 +2,75 @@
 
 from __future__ import annotations
 
+import csv
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from offermarket.functions.conforming import coerce_flag
 from offermarket.functions.text import missing_to_null
-from offermarket.schemas import API_PAGE, API_PAGE_PARTITIONS, ARRIVAL, MARKET_COLUMNS
+from offermarket.schemas import API_PAGE, API_PAGE_PARTITIONS, ARRIVAL, CORRUPT, MARKET_COLUMNS
 from offermarket.vocabulary import SEARCH_COUNTRIES, SEARCH_TITLES
 
+ARRIVAL_KIND = "struct<file:string,block:bigint,row:bigint>"
 
-def read_market_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Market rows of a CSV with a header: typed columns plus ``arrival``.
 
-    Columns are taken by header name and read as text; the words for "missing"
-    become NULL before the cast, and a value that does not fit its type is NULL
-    instead of stopping the load. ``arrival`` orders the rows as the files hold
-    them, whatever the number of read tasks.
+def read_market_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Market rows of CSV files with headers: typed columns, ``arrival`` and the corrupt line.
+
+    Columns are taken by header name, whatever their order in a file, and read as
+    text; the words for "missing" become NULL before the cast, and a value that
+    does not fit its type is NULL instead of stopping the load. A quoted field may
+    hold line breaks, so a file is read by one task. A line with too few or too many
+    fields is kept in ``_corrupt_record``. ``arrival`` orders the rows as the files
+    hold them, whatever the number of read tasks.
     """
-    raw = spark.read.csv(path, header=True, inferSchema=False, escape='"')
+    parts = [_one_layout(spark, header, files) for header, files in _layouts(spark, path).items()]
+    if not parts:
+        kinds = T.StructType([T.StructField(n, k) for n, k in MARKET_COLUMNS.items()])
+        return spark.createDataFrame([], kinds.add(CORRUPT, T.StringType()).add(ARRIVAL, ARRIVAL_KIND))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _layouts(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """Files by their header line. File names and a line each come to the driver, no data."""
+    first = F.min_by("value", F.struct("block", "row"))
+    lines = spark.read.text(path).select(
+        "value",
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+    found: dict[str, list[str]] = {}
+    for row in lines.filter("block = 0").groupBy("file").agg(first.alias("header")).collect():
+        found.setdefault(row.header.lstrip("\ufeff"), []).append(row.file)
+    return found
+
+
+def _one_layout(spark: SparkSession, header: str, files: list[str]) -> DataFrame:
+    names = next(csv.reader([header]))
+    # Names that are empty or come twice can't be asked for; they only hold their place.
+    places = [n if n and names.index(n) == i else f"_place_{i}" for i, n in enumerate(names)]
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*places, CORRUPT]])
+    checked = places == names
+    raw = (
+        spark.read.schema(schema)
+        .options(header=True, multiLine=True, escape='"', mode="PERMISSIVE", enforceSchema=not checked)
+        .option("columnNameOfCorruptRecord", CORRUPT)
+        .csv(files)
+    )
     arrival = F.struct(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("row"),
     )
-    columns = [_typed(name, kind) for name, kind in MARKET_COLUMNS.items()]
-    return raw.select(*columns, arrival.alias(ARRIVAL))
+    columns = [
+        _typed(name, kind) if name in places else F.lit(None).cast(kind).alias(name)
+        for name, kind in MARKET_COLUMNS.items()
+    ]
+    return raw.select(*columns, CORRUPT, arrival.alias(ARRIVAL))
 
 
 def _typed(name: str, kind: T.DataType) -> Column:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from offermarket.schemas import TABLES
@@ -18,15 +17,15 @@ def read_warehouse_table(
     *,
     parquet_dir: str | None = None,
     jdbc: dict[str, str] | None = None,
-    without_load: str | None = None,
+    loads: DataFrame | None = None,
 ) -> DataFrame:
     """One stored table, or over JDBC also a query.
 
     From Parquet a table that was never written is empty. ``jdbc`` holds the
     reader's options; with ``partitionColumn``, bounds and ``numPartitions``
     the rows are fetched by that many tasks, and a ``name`` starting with
-    ``select`` is passed on as a query. ``without_load`` leaves out the rows one
-    load wrote, which is a folder that is not listed for reading.
+    ``select`` is passed on as a query. ``loads`` (column ``load``) names the
+    loads whose rows count; folders of others are not read.
     """
     if (parquet_dir is None) == (jdbc is None):
         raise ValueError("give either parquet_dir or jdbc")
@@ -41,8 +40,8 @@ def read_warehouse_table(
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
-    if without_load is not None:
-        stored = stored.filter(~F.col(_LOAD.name).eqNullSafe(without_load))
+    if loads is not None:
+        stored = stored.join(loads.select(_LOAD.name), _LOAD.name, "left_semi")
     return stored.select(*schema.fieldNames())
 
 

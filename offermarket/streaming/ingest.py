@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -25,9 +27,9 @@ def ingest_incremental(
     """Load the pages that landed since the last run, then stop.
 
     The offer's key, not a time, decides what is new, so there is no watermark.
-    Each batch writes folders of its own and leaves them out when it looks up
-    what is stored: a batch that runs again, after a failure half way, replaces
-    its rows and adds none.
+    Each batch is a load named by the stream's identity, which the checkpoint keeps,
+    and its number: streams with other checkpoints never share a name, and a batch
+    that runs again after a failure finishes its own load and adds nothing twice.
     """
     stored = Warehouse(spark, warehouse)
     schema = T.StructType(API_PAGE.fields + API_PAGE_PARTITIONS.fields)
@@ -35,13 +37,22 @@ def ingest_incremental(
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
 
+    started = threading.Event()
+    queries: list[StreamingQuery] = []
+
     def load(batch: DataFrame, batch_id: int) -> None:
-        load_offers_of_pages(stored, batch, f"batch-{batch_id:09d}", aliases, dictionary)
+        # The first batch may come before the starting call has returned the stream.
+        started.wait()
+        name = f"stream-{queries[0].id}-{batch_id:09d}"
+        load_offers_of_pages(stored, batch, name, aliases, dictionary)
 
-    return (
+    query = (
         explode_pages(reader.json(landing))
         .writeStream.foreachBatch(load)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
+    queries.append(query)
+    started.set()
+    return query

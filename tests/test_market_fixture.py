@@ -26,6 +26,7 @@ def loaded(spark, folder):
         "id string, code string, name string, continent string",
     )
     warehouse.put("countries", known, "start")
+    warehouse.publish("start")
     report = load_market(warehouse, write_market_csv(folder), "one")
     return warehouse, dict(rows(report))
 
@@ -63,7 +64,7 @@ def test_read(spark, folder, loaded):
     assert [row.job_id for row in by_row] == ["m1", "m2", "m3", "m4", "m5", "m6", "m1", "m7"]
     assert by_row[7].annual_salary_usd is None
     assert by_row[0].industry == 'Fi"nance, x'
-    profiled = {row.column: row for row in profile_source(df.drop("arrival")).collect()}
+    profiled = {row.column: row for row in profile_source(df.drop("arrival", "_corrupt_record")).collect()}
     assert profiled["annual_salary_usd"].n_null == 1 and profiled["job_id"].n_rows == 8
     assert first_rows(df).count() == 3
 
@@ -76,6 +77,7 @@ def test_report(loaded):
         "inserted": 5,
         "duplicate": 1,
         "job_skills inserted": 12,
+        "corrupt": 0,
     }
 
 
@@ -85,7 +87,7 @@ def test_loading_again_adds_nothing(spark, folder, loaded):
     report = dict(rows(load_market(warehouse, folder + "/market.csv", "two")))
     assert report["inserted"] == 0 and report["job_skills inserted"] == 0
     assert rows(quality.table_counts(warehouse.tables())) == before
-    # The same load once more replaces its own rows.
+    # The same load once more is the one that is stored.
     again = dict(rows(load_market(warehouse, folder + "/market.csv", "one")))
     assert again["inserted"] == 5
     assert rows(quality.table_counts(warehouse.tables())) == before
@@ -247,3 +249,26 @@ def test_kpis(tables):
         "total offers": 5, "priced offers": 4, "titles": 3,
         "skills": 8, "countries": 2, "companies": 0,
     }
+
+
+def test_headers_in_any_order_and_line_breaks_in_quotes(spark, tmp_path):
+    folder = tmp_path / "feed"
+    folder.mkdir()
+    (folder / "a.csv").write_text('job_id,job_title,country,city\nm1,Data Analyst,France,"New\nYork"\nm2,"ML, Engineer",France,Lyon\n')
+    (folder / "b.csv").write_text("city,country,job_title,job_id\nParis,France,Data Engineer,m3\n")
+    (folder / "c.csv").write_text("job_id,job_title,country,city\nm4,Data Analyst\nm5,Data Analyst,France,Nice,too,many\nm6,Data Analyst,France,Nice\n")
+    (folder / "d.csv").write_text(",job_id,job_id,country,job_title\nx,m7,y,France,Data Analyst\n")
+    df = read_market_csv(spark, str(folder))
+    assert rows(df.filter("_corrupt_record is null"), "job_id", "job_title", "country", "city") == [
+        ("m1", "Data Analyst", "France", "New\nYork"),
+        ("m2", "ML, Engineer", "France", "Lyon"),
+        ("m3", "Data Engineer", "France", "Paris"),
+        ("m6", "Data Analyst", "France", "Nice"),
+        ("m7", "Data Analyst", "France", None),
+    ]
+    warehouse = Warehouse(spark, str(tmp_path / "w"))
+    known = spark.createDataFrame([("1", "FR", "France", "Europe")], "id string, code string, name string, continent string")
+    warehouse.put("countries", known, "start")
+    warehouse.publish("start")
+    report = dict(rows(load_market(warehouse, str(folder), "one")))
+    assert (report["read"], report["corrupt"], report["rejected"], report["inserted"]) == (7, 2, 2, 5)

@@ -127,3 +127,56 @@ def test_cascade(loaded):
     gone = tables["jobs"].filter("external_id = 'a1'").withColumnRenamed("id", "job_id")
     kept = merge.delete_cascade(tables["job_skills"], gone, "job_id")
     assert kept.count() == 0
+
+
+def _clean(warehouse):
+    return quality.check_constraints(warehouse.tables()).filter("n_violations > 0").count() == 0
+
+
+def test_two_streams_keep_each_other(spark, tmp_path):
+    """Landings of their own, each with its checkpoint; then a checkpoint that was lost."""
+    stored = str(tmp_path / "warehouse")
+
+    def run(landing, checkpoint, ids, what="data engineer"):
+        write_pages(str(tmp_path / landing), {("us", what, 1): [offer(i, ["US"], "Acme", description="SQL, Java") for i in ids]})
+        ingest_incremental(spark, str(tmp_path / landing), stored, str(tmp_path / checkpoint)).awaitTermination()
+        warehouse = Warehouse(spark, stored)
+        assert _clean(warehouse)
+        return rows(warehouse.table("jobs"), "external_id")
+
+    assert run("one", "c1", ["a1", "a2"]) == [("a1",), ("a2",)]
+    assert run("two", "c2", ["b1"]) == [("a1",), ("a2",), ("b1",)]
+    # The first landing again with a new checkpoint: all of it is stored already, but for one offer.
+    assert run("one", "c3", ["a3"], "AI engineer") == [("a1",), ("a2",), ("a3",), ("b1",)]
+
+
+def test_loads_never_take_rows_from_others(spark, tmp_path):
+    """The second load relies on a skill and a country of the first, which is then given again."""
+    warehouse = Warehouse(spark, str(tmp_path / "w"))
+
+    def load(name, folder, offers):
+        path = write_pages(str(tmp_path / folder), {("us", "data engineer", 1): offers})
+        return dict(rows(load_pages(warehouse, path, name, dictionary=["Cobol", "SQL"])))
+
+    first = [offer("d1", ["US"], "Acme", description="Cobol")]
+    report = load("day1", "l1", first)
+    load("day2", "l2", [offer("d2", ["US"], "Acme", description="Cobol and SQL")])
+    before = rows(quality.table_counts(warehouse.tables()))
+    assert load("day1", "l3", first) == report
+    with pytest.raises(ValueError, match="other rows"):
+        load("day1", "l4", [offer("d1", ["US"], "Acme", description="SQL")])
+    assert rows(quality.table_counts(warehouse.tables())) == before and _clean(warehouse)
+    assert load("day3", "l5", [offer("d3", ["US"], "Acme", description="Cobol")])["inserted"] == 1
+    assert rows(warehouse.table("skills"), "name") == [("Cobol",), ("SQL",)] and _clean(warehouse)
+
+
+def test_a_load_that_broke_off_is_not_seen(spark, tmp_path):
+    warehouse = Warehouse(spark, str(tmp_path / "w"))
+    path = write_pages(str(tmp_path / "l"), {("us", "data engineer", 1): [offer("d1", ["US"], "Acme")]})
+    half = spark.createDataFrame([("x", None, "Nowhere", None)], warehouse.table("countries").schema)
+    warehouse.put("countries", half, "broken")
+    assert warehouse.table("countries").count() == 0
+    assert dict(rows(load_pages(warehouse, path, "broken")))["inserted"] == 1
+    assert rows(warehouse.table("countries"), "name") == [("United States",)] or warehouse.table("countries").count() == 1
+    with pytest.raises(ValueError, match="published"):
+        warehouse.put("countries", half, "broken")

@@ -47,6 +47,7 @@ def test_filters_reach_the_scan(spark, tmp_path):
     )
     warehouse = Warehouse(spark, str(tmp_path))
     warehouse.put("jobs", apply_defaults(jobs), "x")
+    warehouse.publish("x")
     text = plan(market.salary_by_title(warehouse.table("jobs")))
     assert "PartitionFilters: [isnotnull(source" in text
     assert "IsNotNull(salary_avg)" in text
