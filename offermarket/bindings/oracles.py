@@ -9,12 +9,15 @@ from offermarket.schemas import FOREIGN_KEYS, MAX_LENGTH, NOT_NULL, UNIQUE
 from offermarket.vocabulary import (
     ALL_COUNTRIES,
     API_SOURCE,
+    CATEGORICAL_COLUMNS,
     FULL_PROFILE,
     MARKET_SOURCE,
     MONTH_LABELS,
     NO_SKILL,
     NONE_MATCHED,
     NONE_MISSING,
+    SEED_COUNTRIES,
+    SEED_SKILLS,
     SOURCE_GENERAL,
     SOURCE_PREDICTION,
     UNCATEGORISED,
@@ -78,7 +81,7 @@ oracle(
     "profile_source",
     " UNION ALL ".join(
         f"SELECT {i + 1} AS position, '{name}' AS \"column\", '{kind}' AS dtype, "
-        f"count(*) AS n_rows, count(*) - count({name}) AS n_null FROM customer"
+        f"count(*) AS n_rows, count(*) - count({name}) AS n_null, TRUE AS distinct_is_near FROM customer"
         for i, (name, kind) in enumerate(_CUSTOMER)
     ),
 )
@@ -343,7 +346,7 @@ oracle(
     "SELECT * REPLACE (CAST(salary_avg AS DOUBLE) AS salary_avg) FROM rows_",
     "rows_",
 )
-oracle("country_names", f"SELECT name FROM {KNOWN}")
+oracle("country_names", "SELECT n_name AS name FROM nation")
 oracle(
     "offers_listing",
     """SELECT DISTINCT job_title, country, CAST(salary_avg AS DOUBLE) AS salary_avg, experience_level
@@ -670,20 +673,65 @@ oracle(
 
 # --- model features -----------------------------------------------------------
 
-_N_SKILLS = "CASE WHEN skills = '' THEN 0 ELSE len(string_split(skills, ',')) END"
-oracle("encode_skills", f"SELECT id, CAST({_N_SKILLS} AS DOUBLE) AS n_flags FROM extract", "extract")
+oracle("encode_skills", "SELECT id, skills FROM extract", "extract")
 oracle(
     "encode_categories",
     "SELECT id, "
-    + ", ".join(f"1e0 AS {name}_flags" for name in VECTOR_COLUMNS)
+    + ", ".join(f"coalesce(CAST({name} AS VARCHAR), '') AS {name}" for name in VECTOR_COLUMNS)
     + " FROM extract",
     "extract",
 )
+_FLAGS = ", ".join(f"'{name}_flags_' || CAST({name} AS VARCHAR)" for name in CATEGORICAL_COLUMNS)
 oracle(
     "assemble",
-    f"""SELECT id, CAST(7 + years_of_experience + {_N_SKILLS} AS DOUBLE) AS total FROM extract""",
+    f"""SELECT id, array_to_string(list_sort(list_filter([{_FLAGS}], lambda f: f IS NOT NULL)), ',') AS flags,
+               CAST(years_of_experience AS DOUBLE) AS years FROM extract""",
     "extract",
 )
+_IN_RANGE = "salary_avg > 5000 AND salary_avg < 500000"
+oracle(
+    "training_report",
+    f"""SELECT 'offers' AS metric, count(*) AS n FROM extract
+        UNION ALL SELECT 'salary out of range', count(*) FILTER (NOT ({_IN_RANGE})) FROM extract
+        UNION ALL SELECT 'years missing', count(*) FILTER ({_IN_RANGE} AND years_of_experience IS NULL) FROM extract
+        UNION ALL SELECT 'trained on', count(*) FILTER ({_IN_RANGE} AND years_of_experience IS NOT NULL) FROM extract"""
+    + "".join(
+        f" UNION ALL SELECT 'unused {name}', CAST(count({name}) FILTER ({_IN_RANGE}) = 0 AS BIGINT) FROM extract"
+        for name in CATEGORICAL_COLUMNS
+    ),
+    "extract",
+)
+oracle(
+    "linear_baseline",
+    f"""SELECT 'slope' AS part, round_even(regr_slope(ln(1 + salary_avg), years_of_experience), 6) AS value
+        FROM extract WHERE {_IN_RANGE}
+        UNION ALL SELECT 'intercept', round_even(regr_intercept(ln(1 + salary_avg), years_of_experience), 6)
+        FROM extract WHERE {_IN_RANGE}""",
+    "extract",
+)
+for _name, _label in [("search_forest", "forest"), ("search_boosted", "boosted"), ("reduced_forest", "reduced forest")]:
+    oracle(
+        _name,
+        f"""SELECT '{_label}' AS model, count(*) AS n_rows, TRUE AS near_or_better_than_mean FROM extract
+            WHERE {_IN_RANGE} AND CAST('0x' || substr(md5(id || ':42'), 1, 8) AS BIGINT) % 100 >= 80""",
+        "extract",
+    )
+oracle("feature_importance", "SELECT 1e0 AS total, TRUE AS none_negative, TRUE AS all_named")
+oracle("save_load_model", "SELECT id, TRUE AS is_same FROM extract", "extract")
+oracle("score_salary", f"SELECT id, TRUE AS is_a_salary FROM jobs WHERE source = '{API_SOURCE}'", "jobs")
+oracle(
+    "score_requests",
+    """SELECT conv_id, turn, turn >= 2 AS is_request, turn >= 2 AS has_salary, turn < 2 AS is_failure
+       FROM conversations WHERE role = 'assistant'""",
+)
+_SEEDS = [("country", name, continent) for _, name, continent in SEED_COUNTRIES[1:]]
+_SEEDS += [("skill", name, category) for name, category in SEED_SKILLS[1:]]
+oracle(
+    "seed_dimensions",
+    "SELECT * FROM (VALUES "
+    + ", ".join(f"({', '.join(literal(cell) for cell in row)})" for row in _SEEDS)
+    + ") AS seeds (kind, name, more) WHERE name NOT IN (SELECT n_name FROM nation)",
+)
 _GUESS = "(o_totalprice + (250000 - o_totalprice) * 0.25)"
 _ERROR = f"(o_totalprice - {_GUESS})"
 _LOG_ERROR = f"(ln(1 + o_totalprice) - ln(1 + {_GUESS}))"

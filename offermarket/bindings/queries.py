@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,10 +45,10 @@ from offermarket.plans import advising, loading, pricing
 from offermarket.plans.loading import Warehouse
 from offermarket.schemas import API_OFFER, MARKET_COLUMNS, SALARY_REQUEST
 from offermarket.skew import blocked_row_number
-from offermarket.sources import feeds, profiling, warehouse
+from offermarket.sources import feeds, profiling, seeds, warehouse
 from offermarket.staging import new_folder, stage
 from offermarket.streaming import ingest
-from offermarket.vocabulary import API_SOURCE, MARKET_SOURCE
+from offermarket.vocabulary import API_SOURCE, MARKET_SOURCE, PREDICTION_FAILED, SEED_COUNTRIES, SEED_SKILLS
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -79,8 +80,29 @@ def money(name: str) -> Column:
 
 @query
 def profile_source(m: Market) -> DataFrame:
-    profile = profiling.profile_source(m.read("customer"))
-    return profile.select("position", "column", "dtype", "n_rows", "n_null")
+    """The approximate distinct counts are held against exact ones."""
+    customer = m.read("customer")
+    exact = customer.agg(*[F.count_distinct(name).alias(name) for name in customer.columns])
+    counted = exact.unpivot([], customer.columns, "column", "n_distinct")
+    near = F.abs(F.col("n_distinct_approx") - F.col("n_distinct")) <= 0.15 * F.col("n_distinct")
+    return (
+        profiling.profile_source(customer)
+        .join(counted, "column")
+        .select("position", "column", "dtype", "n_rows", "n_null", near.alias("distinct_is_near"))
+    )
+
+
+@query
+def seed_dimensions(m: Market) -> DataFrame:
+    """Reference rows that the stored dimensions lack: all but one of each kind."""
+    known = m.spark.createDataFrame([(SEED_SKILLS[0][0],)], "name string").select(
+        F.md5("name").alias("id"), "name", F.lit(None).cast("string").alias("category")
+    )
+    taken = seeds.seed_countries(m.spark).filter(F.col("code") == SEED_COUNTRIES[0][0])
+    countries, skills = seeds.seed_dimensions(m.countries.unionByName(taken), m.skills.unionByName(known))
+    return countries.select(F.lit("country").alias("kind"), "name", F.col("continent").alias("more")).unionByName(
+        skills.select(F.lit("skill").alias("kind"), "name", F.col("category").alias("more"))
+    )
 
 
 # --- load semantics -----------------------------------------------------------
@@ -497,7 +519,8 @@ def offer_skill_rows(m: Market) -> DataFrame:
 
 @query
 def country_names(m: Market) -> DataFrame:
-    return views.country_names(_some_countries(m))
+    doubled = m.countries.withColumn("id", F.concat(F.lit("x"), "id"))
+    return views.country_names(m.countries.unionByName(doubled))
 
 
 @query
@@ -874,26 +897,54 @@ def _encoded(m: Market) -> DataFrame:
     return model.fit_features(rows).transform(rows)
 
 
-def _total(name: str) -> Column:
-    """Sum of a vector's entries."""
-    entries = vector_to_array(F.col(name))
-    return F.aggregate(entries, F.lit(0.0), lambda total, entry: total + entry)
+def _active(df: DataFrame, vector: str, names: list[str]) -> DataFrame:
+    """``(id, name, value)`` of a vector's entries that are not 0."""
+    entries = df.select("id", F.posexplode(vector_to_array(F.col(vector))).alias("idx", "value"))
+    known = df.sparkSession.createDataFrame(list(enumerate(names)), "idx int, name string")
+    return entries.filter(F.col("value") != 0).join(known, "idx").select("id", "name", "value")
+
+
+def _names_per_offer(df: DataFrame, active: DataFrame, result: str) -> DataFrame:
+    found = active.groupBy("id").agg(F.concat_ws(",", F.array_sort(F.collect_list("name"))).alias(result))
+    return df.select("id").join(found, "id", "left").select("id", F.coalesce(result, F.lit("")).alias(result))
 
 
 @query
 def encode_skills(m: Market) -> DataFrame:
-    return _encoded(m).select("id", _total("skill_flags").alias("n_flags"))
+    """The skills whose flags are set."""
+    rows = stage(model.training_rows(extract(m)), "training-rows")
+    fitted = features.encode_skills().fit(rows)
+    encoded = fitted.transform(rows)
+    return _names_per_offer(encoded, _active(encoded, "skill_flags", fitted.vocabulary), "skills")
 
 
 @query
 def encode_categories(m: Market) -> DataFrame:
-    flags = [_total(f"{name}_flags").alias(f"{name}_flags") for name in VECTOR_COLUMNS]
-    return _encoded(m).select("id", *flags)
+    """The value whose flag is set, for each category."""
+    rows = stage(model.training_rows(extract(m)), "training-rows")
+    fitted = Pipeline(stages=features.encode_categories(VECTOR_COLUMNS)).fit(rows)
+    encoded = fitted.transform(rows)
+    result = rows.select("id")
+    for column, labels in zip(VECTOR_COLUMNS, fitted.stages[0].labelsArray):
+        found = _names_per_offer(encoded, _active(encoded, f"{column}_flags", list(labels)), column)
+        result = result.join(found, "id")
+    return result
 
 
 @query
 def assemble(m: Market) -> DataFrame:
-    return _encoded(m).select("id", _total("features").alias("total"))
+    """Names of all features that are not 0, and the one that is a number."""
+    encoded = _encoded(m)
+    names = model.feature_names(encoded)
+    active = _active(encoded, "features", names)
+    years = active.filter(F.col("name") == "years_of_experience").select("id", F.col("value").alias("years"))
+    flags = active.filter((F.col("name") != "years_of_experience") & ~F.col("name").startswith("skill_flags"))
+    return _names_per_offer(encoded, flags, "flags").join(years, "id")
+
+
+@query
+def training_report(m: Market) -> DataFrame:
+    return features.training_report(extract(m))
 
 
 # --- models -------------------------------------------------------------------
@@ -928,25 +979,39 @@ def evaluate_regression(m: Market) -> DataFrame:
     )
 
 
+def _beats_mean(data: pricing.TrainingSet, predicted: DataFrame, name: str) -> DataFrame:
+    """Rows scored, and whether the log salary is missed by no more than the training mean misses it."""
+    mean = data.train.agg(F.avg(model.LABEL)).first()[0]
+    error = F.avg(F.abs(F.col(model.LABEL) - F.col("prediction")))
+    return predicted.agg(
+        F.lit(name).alias("model"),
+        F.count(F.lit(1)).alias("n_rows"),
+        (error <= 1.1 * F.avg(F.abs(F.col(model.LABEL) - F.lit(mean)))).alias("near_or_better_than_mean"),
+    )
+
+
 @query
 def search_forest(m: Market) -> DataFrame:
     data = pricing.TrainingSet.of(extract(m), min_count=50)
     found = model.search_forest(data.train, 2, 2, grid=SMALL_FOREST)
-    return model.evaluate_regression(found.transform(data.test), "forest")
+    return _beats_mean(data, found.transform(data.test), "forest")
 
 
 @query
 def search_boosted(m: Market) -> DataFrame:
     data = pricing.TrainingSet.of(extract(m), min_count=50)
     found = model.search_boosted(data.train, 1, 2, grid=SMALL_BOOSTED)
-    return model.evaluate_regression(found.transform(data.test), "boosted")
+    return _beats_mean(data, found.transform(data.test), "boosted")
 
 
 @query
 def linear_baseline(m: Market) -> DataFrame:
-    data = pricing.TrainingSet.of(extract(m), min_count=50)
-    return model.evaluate_regression(
-        model.linear_baseline(data.train).transform(data.test), "linear"
+    """The straight line through one feature, on all offers that can be trained on."""
+    rows = model.training_rows(features.salary_range(extract(m)))
+    line = model.linear_baseline(features.assemble(["years_of_experience"]).transform(rows))
+    parts = [("slope", float(line.coefficients[0])), ("intercept", float(line.intercept))]
+    return m.spark.createDataFrame(parts, "part string, value double").withColumn(
+        "value", F.bround("value", 6)
     )
 
 
@@ -958,7 +1023,14 @@ def _forest(m: Market) -> tuple:
 @query
 def feature_importance(m: Market) -> DataFrame:
     data, forest = _forest(m)
-    return model.feature_importance(forest.bestModel, data.train).select("feature", "importance")
+    names = model.feature_names(data.train)
+    found = model.feature_importance(forest.bestModel, data.train, n=len(names))
+    known = m.spark.createDataFrame([(name,) for name in names], "feature string")
+    return found.join(known, "feature", "left_semi").agg(
+        F.bround(F.sum("importance"), 6).alias("total"),
+        (F.min("importance") >= 0).alias("none_negative"),
+        (F.count(F.lit(1)) == len(names)).alias("all_named"),
+    )
 
 
 @query
@@ -966,7 +1038,7 @@ def reduced_forest(m: Market) -> DataFrame:
     data, forest = _forest(m)
     best = model.feature_importance(forest.bestModel, data.train, n=30)
     reduced = model.reduced_forest(data.train, best, model.best_params(forest, SMALL_FOREST))
-    return model.evaluate_regression(reduced.transform(data.test), "reduced forest")
+    return _beats_mean(data, reduced.transform(data.test), "reduced forest")
 
 
 def _pipeline(m: Market):
@@ -988,7 +1060,23 @@ def score_salary(m: Market) -> DataFrame:
     requests = wanted.withColumn("skills", F.array().cast("array<string>")).select(
         "id", *SALARY_REQUEST.fieldNames()
     )
-    return model.score_salary(requests, _pipeline(m)).select("id", "predicted_salary")
+    salary = F.col("predicted_salary")
+    return model.score_salary(requests, _pipeline(m)).select(
+        "id", ((salary > 0) & (salary < 1e9)).alias("is_a_salary")
+    )
+
+
+@query
+def save_load_model(m: Market) -> DataFrame:
+    """A model read back predicts what the one that was saved does."""
+    data = pricing.TrainingSet.of(extract(m), min_count=50)
+    whole = model.full_pipeline(data.encoders, model.linear_baseline(data.train))
+    path = new_folder(m.spark, "model")
+    model.save_model(whole, path)
+    rows = stage(model.training_rows(extract(m)), "training-rows")
+    own = whole.transform(rows).select("id", "prediction")
+    read = model.load_model(path).transform(rows).select("id", F.col("prediction").alias("again"))
+    return own.join(read, "id").select("id", (F.col("prediction") == F.col("again")).alias("is_same"))
 
 
 @query
@@ -1005,7 +1093,14 @@ def score_requests(m: Market) -> DataFrame:
         F.col("turn") >= 2, F.concat(F.lit("<ML_PREDICT>"), request, F.lit("</ML_PREDICT>"))
     ).otherwise(F.col("text"))
     conv = m.read("conversations").withColumn("text", logged)
-    return dialogue.score_requests(conv, _pipeline(m))
+    answered = dialogue.score_requests(conv, _pipeline(m))
+    return answered.select(
+        "conv_id",
+        "turn",
+        "is_request",
+        F.col("predicted_salary").isNotNull().alias("has_salary"),
+        F.col("answer").startswith(PREDICTION_FAILED).alias("is_failure"),
+    )
 
 
 # --- whole loads --------------------------------------------------------------

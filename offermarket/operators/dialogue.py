@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from offermarket.functions.dialogue import extract_salary_request, strip_think, tag_source
 from offermarket.functions.numbers import format_salary
 from offermarket.operators.model import score_salary
-from offermarket.skew import BLOCK, blocked_row_number
+from offermarket.skew import BLOCK, blocked_row_number, hot_join
 from offermarket.vocabulary import CONTEXT_MESSAGES, INTENT_PREDICTION, PREDICTION_FAILED
 
 
@@ -24,8 +24,9 @@ def context_window(
     """
     message = F.struct("turn", "role", "text")
     blocks = conv.withColumn("_block", F.floor(F.col("turn") / F.lit(block)))
-    inside = Window.partitionBy("conv_id", "_block").orderBy("turn")
-    latest = Window.partitionBy("conv_id", "_block").orderBy(F.desc("turn"))
+    # Messages of one turn are settled by role and text.
+    inside = Window.partitionBy("conv_id", "_block").orderBy("turn", "role", "text")
+    latest = Window.partitionBy("conv_id", "_block").orderBy(F.desc("turn"), F.desc("role"), F.desc("text"))
     tails = (
         blocks.withColumn("_place", F.row_number().over(latest))
         .filter(F.col("_place") <= n)
@@ -59,8 +60,9 @@ def append_turns(conv: DataFrame, new: DataFrame, block: int = BLOCK) -> DataFra
     """
     columns = ["conv_id", "turn", "role", "text"]
     last = conv.groupBy("conv_id").agg(F.max("turn").alias("_last"))
-    placed = blocked_row_number(new, ["conv_id"], "seq", "_place", block).join(
-        last, "conv_id", "left"
+    counts = new.filter(F.col("conv_id").isNotNull()).groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_rows"))
+    placed = hot_join(
+        blocked_row_number(new, ["conv_id"], "seq", "_place", block), last, counts, ["conv_id"], ["seq"], how="left"
     )
     start = F.coalesce(F.col("_last"), F.lit(-1)) + 2 * F.col("_place") - 1
     messages = F.array(
@@ -84,17 +86,23 @@ def score_requests(conv: DataFrame, model: PipelineModel) -> DataFrame:
     parsed = conv.filter(F.col("role") == "assistant").select(
         "conv_id", "turn", request.alias("_asked")
     )
-    flat = parsed.select(
-        "conv_id", "turn", F.col("_asked").isNotNull().alias("is_request"), "_asked.*"
-    )
-    scored = score_salary(flat, model)
-    answer = F.when(F.col("is_request"), format_salary(F.col("predicted_salary"))).otherwise(
-        PREDICTION_FAILED
+    # Only messages that hold a request meet the model; the others get the failure text.
+    asked = parsed.filter(F.col("_asked").isNotNull()).select("conv_id", "turn", "_asked.*")
+    scored = score_salary(asked, model, digits=None).select(
+        "conv_id",
+        "turn",
+        F.lit(True).alias("is_request"),
+        F.bround("predicted_salary", 2).alias("predicted_salary"),
+        # The words show the prediction itself, not one that was rounded before.
+        format_salary(F.col("predicted_salary")).alias("answer"),
     )
-    return scored.select(
+    failed = parsed.filter(F.col("_asked").isNull()).select(
         "conv_id",
         "turn",
-        "is_request",
-        F.when(F.col("is_request"), F.col("predicted_salary")).alias("predicted_salary"),
-        tag_source(answer, F.lit(INTENT_PREDICTION)).alias("answer"),
+        F.lit(False).alias("is_request"),
+        F.lit(None).cast("double").alias("predicted_salary"),
+        F.lit(PREDICTION_FAILED).alias("answer"),
+    )
+    return scored.unionByName(failed).withColumn(
+        "answer", tag_source(F.col("answer"), F.lit(INTENT_PREDICTION))
     )

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.ml.base import Transformer
 from pyspark.ml.feature import (
-    CountVectorizerModel,
+    CountVectorizer,
     OneHotEncoder,
     StringIndexer,
     VectorAssembler,
@@ -23,15 +22,16 @@ from offermarket.vocabulary import (
     TRAIN_PERCENT,
 )
 
-MAX_VOCABULARY = 1 << 18
-
 
 def training_extract(
     jobs: DataFrame, countries: DataFrame, job_skills: DataFrame, skills: DataFrame
 ) -> DataFrame:
     """Offers with a salary and a country, and their sorted list of skills."""
-    named = job_skills.join(
-        skills.select(F.col("id").alias("skill_id"), F.col("name").alias("skill_name")), "skill_id"
+    named = salted_lookup(
+        job_skills,
+        skills.select(F.col("id").alias("skill_id"), F.col("name").alias("skill_name")),
+        ["skill_id"],
+        spread_by=["job_id"],
     )
     per_offer = named.groupBy(F.col("job_id").alias("id")).agg(
         F.array_sort(F.collect_set("skill_name")).alias("skills")
@@ -110,22 +110,31 @@ def usable_categories(df: DataFrame, columns: list[str] = CATEGORICAL_COLUMNS) -
     return [name for name in columns if counts[name] > 0]
 
 
-def skill_vocabulary(df: DataFrame, col: str = "skills") -> list[str]:
-    """Sorted distinct skills; refuses to bring more than a bound to the driver."""
-    distinct = df.select(F.explode(col).alias("skill")).distinct().limit(MAX_VOCABULARY + 1)
-    names = sorted(row["skill"] for row in distinct.collect())
-    if len(names) > MAX_VOCABULARY:
-        raise ValueError(f"more than {MAX_VOCABULARY} distinct skills")
-    return names
+def encode_skills(input_col: str = "skills", output_col: str = "skill_flags") -> CountVectorizer:
+    """One flag per skill of the rows it is fitted on, however many; unknown skills are ignored."""
+    return CountVectorizer(
+        inputCol=input_col, outputCol=output_col, binary=True, minDF=1.0, vocabSize=(1 << 31) - 1
+    )
 
 
-def encode_skills(
-    vocabulary: list[str], input_col: str = "skills", output_col: str = "skill_flags"
-) -> Transformer:
-    """One flag per known skill, in sorted order; unknown skills are ignored."""
-    # An empty vocabulary is refused; a name no offer can hold gives a 0 column.
-    words = vocabulary or ["\u0000"]
-    return CountVectorizerModel.from_vocabulary(words, input_col, output_col).setBinary(True)
+def training_report(df: DataFrame) -> DataFrame:
+    """``(metric, n)``: what training leaves out of an extract, counted in one pass.
+
+    Offers without years of experience are no training rows, and a category without
+    any value in the range (1) is no feature.
+    """
+    inside = (F.col("salary_avg") > SALARY_FLOOR) & (F.col("salary_avg") < SALARY_CEILING)
+    counts = {
+        "offers": F.count(F.lit(1)),
+        "salary out of range": F.count_if(~inside),
+        "years missing": F.count_if(inside & F.col("years_of_experience").isNull()),
+        "trained on": F.count_if(inside & F.col("years_of_experience").isNotNull()),
+    }
+    for name in CATEGORICAL_COLUMNS:
+        counts[f"unused {name}"] = (F.count_if(inside & F.col(name).isNotNull()) == 0).cast("long")
+    row = df.agg(*[value.alias(f"n_{i}") for i, value in enumerate(counts.values())])
+    pairs = [F.struct(F.lit(m).alias("metric"), F.col(f"n_{i}").alias("n")) for i, m in enumerate(counts)]
+    return row.select(F.inline(F.array(*pairs)))
 
 
 def encode_categories(columns: list[str]) -> list:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from offermarket.functions.text import detect_skills, split_skill_list
+from offermarket.skew import salted_lookup
 from offermarket.vocabulary import DETECTED_SKILLS
 
 
@@ -38,4 +39,5 @@ def build_job_skills(
 def bridge_pairs(names: DataFrame, skills: DataFrame) -> DataFrame:
     """``(job_id, name)`` rows as pairs of keys."""
     known = skills.select(F.col("id").alias("skill_id"), "name")
-    return names.join(known, "name").select("job_id", "skill_id")
+    # A popular skill is in most offers; the known skills are few.
+    return salted_lookup(names, known, ["name"], spread_by=["job_id"]).select("job_id", "skill_id")

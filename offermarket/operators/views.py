@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from offermarket.functions.numbers import mean_of
+from offermarket.skew import salted_lookup
 from offermarket.vocabulary import ALL_COUNTRIES, MARKET_SOURCE, UNCATEGORISED
 
 
@@ -55,9 +56,12 @@ def offer_skill_rows(
             F.col("id").alias("job_id"), "job_title", "experience_level", "salary_avg", "country"
         )
     )
-    named = job_skills.join(
+    # One skill may be asked for by most offers; the skills themselves are few.
+    named = salted_lookup(
+        job_skills,
         skills.select(F.col("id").alias("skill_id"), F.col("name").alias("skill_name")),
-        "skill_id",
+        ["skill_id"],
+        spread_by=["job_id"],
     ).select("job_id", "skill_name")
     return offers.join(named, "job_id")
 

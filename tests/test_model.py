@@ -87,10 +87,10 @@ def test_features(extract):
     data = model.training_rows(extract)
     assert data.count() == 599
     assert "employment_type" not in features.usable_categories(data)
-    assert features.skill_vocabulary(data) == ["Excel", "Python", "SQL"]
+    assert sorted(features.encode_skills().fit(data).vocabulary) == ["Excel", "Python", "SQL"]
     fitted = model.fit_features(data)
     encoded = fitted.transform(data)
-    names = model._feature_names(encoded)
+    names = model.feature_names(encoded)
     assert len(names) == len(set(names)) == encoded.first().features.size
     odd = encoded.filter("id = 7").first()
     assert odd.job_category is None and odd.job_category_flags.numNonzeros() == 0
