@@ -19,8 +19,6 @@ SEARCH_TITLES = [
     "data engineer",
     "AI engineer",
 ]
-PAGES_PER_SEARCH = 3
-OFFERS_PER_PAGE = 50
 
 # --- fixed values: country spellings; None means "no single country" --------
 COUNTRY_ALIASES = {
