@@ -393,9 +393,10 @@ oracle(
 
 oracle(
     "top_skills",
-    """SELECT concat_ws(' ', p_brand, p_name) AS name, count(DISTINCT l_orderkey) AS n_offers
-       FROM part, lineitem WHERE p_partkey = l_partkey GROUP BY concat_ws(' ', p_brand, p_name)
-       QUALIFY row_number() OVER (ORDER BY n_offers DESC, name) <= 10""",
+    """SELECT name, n_offers FROM (
+           SELECT concat_ws(' ', p_brand, p_name) AS name, count(DISTINCT l_orderkey) AS n_offers
+           FROM part, lineitem WHERE p_partkey = l_partkey GROUP BY ALL)
+       ORDER BY n_offers DESC, name LIMIT 10""",
 )
 oracle(
     "salary_by_title",
@@ -442,10 +443,11 @@ oracle(
 )
 oracle(
     "top_companies",
-    """SELECT c_name AS name, CAST(sum(n) AS BIGINT) AS n_offers
-       FROM (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'P' GROUP BY o_custkey) pending, customer
-       WHERE o_custkey = c_custkey GROUP BY c_name
-       QUALIFY row_number() OVER (ORDER BY n_offers DESC, c_name) <= 15""",
+    """SELECT name, n_offers FROM (
+           SELECT c_name AS name, CAST(sum(n) AS BIGINT) AS n_offers
+           FROM (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'P' GROUP BY o_custkey) pending, customer
+           WHERE o_custkey = c_custkey GROUP BY c_name)
+       ORDER BY n_offers DESC, name LIMIT 15""",
 )
 oracle(
     "company_size_split",
