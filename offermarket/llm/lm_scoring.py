@@ -129,21 +129,29 @@ def _count_pairs(shards: int):
     return run
 
 
+def _opened(folder: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(folder if ":" in folder else f"file://{folder}")
+
+
 def _write(folder: str, name: str, arrays: list[np.ndarray]) -> None:
     """Write arrays of one length to a file of the shared folder; a repeated task writes the same again."""
-    system, path = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+    system, path = _opened(folder)
     system.create_dir(path, recursive=True)
     part = f"{path}/.{name}-{uuid.uuid4().hex}"
     with system.open_output_stream(part) as out:
         out.write(np.array([len(arrays[0])], np.int64).tobytes())
         for array in arrays:
             out.write(array.tobytes())
-    system.move(part, f"{path}/{name}")
+    if system.get_file_info(f"{path}/{name}").type == fs.FileType.File:
+        # Written before by the same task; a name only ever stands for a whole file.
+        system.delete_file(part)
+    else:
+        system.move(part, f"{path}/{name}")
 
 
 def _mapped(folder: str, name: str, kinds: tuple[type, ...]) -> list[np.ndarray]:
     """The arrays of a file, mapped into memory; empty ones where no task had anything to write."""
-    system, path = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+    system, path = _opened(folder)
     path = f"{path}/{name}"
     if system.get_file_info(path).type == fs.FileType.NotFound:
         return [np.empty(0, kind) for kind in kinds]

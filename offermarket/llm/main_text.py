@@ -57,8 +57,11 @@ AROUND = frozenset(
     comment comments commentlist commentary respond reply replies disqus discussion feedback related recommended
     recommendations teaser teasers share sharing social follow widget widgets toolbar search form tags hidden
     contentinfo complementary skip warning announcement disclaimer toast legal
+    adbox adslot adunit adblock adcontainer adwrapper adsbygoogle
     """.split()
 )
+#: Endings of compounds such as topnav, mainmenu or usercomments that mark the same.
+AROUND_ENDS = ("nav", "menu", "sidebar", "footer", "banner", "comments", "newsletter", "popup")
 #: ... and those that mark the article itself, which weigh more.
 INSIDE = frozenset("article content contents post entry story main maintext articlebody".split())
 #: Class words that only point at a part, such as has-sidebar or with-comments, mark nothing.
@@ -92,7 +95,7 @@ class Block:
 
     out: bool
     article: int
-    heading: bool
+    heading: str  # tag of the heading it is in, if any
     parent: int
     pieces: list[str] = field(default_factory=list)
     linked: list[str] = field(default_factory=list)
@@ -117,8 +120,11 @@ def _marks(attributes: str) -> tuple[bool, bool]:
         words = set(_PART.findall(_CASES.sub("-", name).lower()))
         if words & POINTERS:
             continue
-        # The comments of a post are no article; its header holds its title.
-        if words & AROUND and not (words & AROUND <= {"header"} and words & INSIDE):
+        words |= {"nav" for word in words if word.endswith(AROUND_ENDS)}
+        if words & INSIDE and words & AROUND == {"header"}:
+            continue  # it holds the title of an article
+        # The comments of a post are no article.
+        if words & AROUND:
             around = True
         elif words & INSIDE:
             inside = True
@@ -143,7 +149,7 @@ def blocks_of(page: str) -> tuple[list[Block], list[tuple[str, int]]]:
         if current is None:
             if text.isspace():
                 return
-            heading = any(e.tag in HEADINGS for e in stack[-4:])
+            heading = next((e.tag for e in reversed(stack) if e.tag in HEADINGS), "")
             current = Block(top.out, top.article, heading, parents[-1])
             found.append(current)
         if not text.isspace():
@@ -299,20 +305,40 @@ def _second_pass(blocks: list[Block], known_article: bool) -> None:
                 block.label = labels[min(near, key=lambda j: (abs(j - i), labels[j] == "bad"))]
 
 
-def _chosen(blocks: list[Block], articles: list[tuple[str, int]]) -> int | None:
-    """The marked article that holds most text: article before main before class names."""
+def _around(at: int, articles: list[tuple[str, int]]) -> Iterator[int]:
+    """A marked article and those around it."""
+    while at >= 0:
+        yield at
+        at = articles[at][1]
+
+
+def _body(blocks: list[Block], articles: list[tuple[str, int]]) -> list[Block] | None:
+    """The blocks of the marked article that holds most text: article before main before class names.
+
+    An article inside another one is a comment on it and counts for itself. Of named
+    elements within each other, the inner one is taken if it has nearly all; a main
+    heading before it, in what is marked around it, belongs to it.
+    """
+    owner = [next((a for a in _around(b.article, articles) if articles[a][0] == "article"), -1) for b in blocks]
     sizes = [0] * len(articles)
-    for block in blocks:
-        at = block.article
-        while at >= 0:
-            sizes[at] += len(block.text)
-            at = articles[at][1]
+    for block, own in zip(blocks, owner):
+        for at in _around(block.article, articles):
+            if articles[at][0] != "article" or at == own:
+                sizes[at] += len(block.text)
     for kind in ("article", "main", "named"):
-        own = [a for a, (k, _) in enumerate(articles) if k == kind and sizes[a]]
-        if own:
-            most = max(sizes[a] for a in own)
-            # Of one within another, the inner one if it has nearly all.
-            return max(a for a in own if sizes[a] >= (0.9 if kind == "named" else 1) * most)
+        found = [a for a, (k, _) in enumerate(articles) if k == kind and sizes[a]]
+        if not found:
+            continue
+        most = max(sizes[a] for a in found)
+        chosen = max(a for a in found if sizes[a] >= (0.9 if kind == "named" else 1) * most)
+        outer = set(_around(chosen, articles)) - {chosen}
+        body = []
+        for block, own in zip(blocks, owner):
+            if own == chosen if kind == "article" else chosen in _around(block.article, articles):
+                body.append(block)
+            elif block.heading == "h1" and block.article in outer and not body:
+                body.append(block)
+        return body
     return None
 
 
@@ -320,19 +346,12 @@ def extract(page: str | None) -> str:
     """The main text of a page: its blocks joined by one line feed; empty if there is none."""
     found, articles = blocks_of(page or "")
     usable = [b for b in found if not b.out]
-    chosen = _chosen(usable, articles)
-    if chosen is not None:
-
-        def inside(at: int) -> bool:
-            while at > chosen:
-                at = articles[at][1]
-            return at == chosen
-
-        usable = [b for b in usable if inside(b.article)]
-    for block in usable:
-        block.label = _first_pass(block, chosen is not None)
-    _second_pass(usable, chosen is not None)
-    return "\n".join(b.text for b in usable if b.label == "good")
+    body = _body(usable, articles)
+    blocks = usable if body is None else body
+    for block in blocks:
+        block.label = _first_pass(block, body is not None)
+    _second_pass(blocks, body is not None)
+    return "\n".join(b.text for b in blocks if b.label == "good")
 
 
 def main_text(pages: DataFrame, carry: list[str], html_col: str = "html", name: str = "text") -> DataFrame:

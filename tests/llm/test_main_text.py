@@ -37,6 +37,17 @@ PAGES = {
     "other script": ("<article><p>日本語のテキスト。</p></article>", "日本語のテキスト。"),
     "hidden": (f"<article><p>Yes.</p><p hidden>{PROSE}</p><p style='display: none'>{PROSE}</p></article>", "Yes."),
     "several articles": (f"<article><p>Tea.</p></article><article><p>{PROSE}</p></article>", PROSE),
+    "title outside the content": (
+        f"<main><h1>Head</h1><div class='topnav'><p>{OTHER}</p></div><article><p>{PROSE}</p><article><p>{OTHER}</p></article>"
+        f"<p>End.</p></article><h1>Not this</h1></main>",
+        f"Head\n{PROSE}\nEnd.",
+    ),
+    "title in the header of a post": (
+        f"<div class='post'><header class='entry-header'><h1>Head</h1></header><div class='entry-content'><p>{PROSE}</p>"
+        f"<p>{OTHER}</p></div><div class='usercomments'><p>{PROSE}</p></div></div>",
+        f"Head\n{PROSE}\n{OTHER}",
+    ),
+    "shouting tags": (f"<DIV CLASS='AD'>{OTHER}</DIV><ARTICLE><P>{PROSE}</P></ARTICLE>", PROSE),
     "empty": ("", ""),
     "null": (None, ""),
     "no text": ("<html><body><img src=x></body></html>", ""),
