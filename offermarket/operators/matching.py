@@ -104,7 +104,7 @@ def coverage_score(
     """Score of every profile and title of its scope that share a skill.
 
     Both sides are joined on scope and skill, one row per shared skill. The
-    requirements, which are read twice and should be staged, are counted first:
+    requirements, which are read twice and should be staged, are measured first:
     up to a bound they are broadcast, and as the profiles are spread by their
     key beforehand, counting and ranking then need no further shuffle.
     """
@@ -116,9 +116,8 @@ def coverage_score(
     needed = requirements.select(
         *_TITLE, F.size("required").alias("n_required"), F.explode("required").alias("skill")
     )
-    n_needed = requirements.agg(F.sum(F.size("required"))).first()[0] or 0
     matched = (
-        sized_join(owned, needed, n_needed, ["scope", "skill"], ["profile_id"])
+        sized_join(owned, needed, ["scope", "skill"], ["profile_id"])
         .groupBy("profile_id", *_TITLE, "n_owned", "n_required")
         .agg(F.count(F.lit(1)).alias("n_matched"))
     )

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 SALTS = 32
 BLOCK = 10_000
-# Rows a lookup side may have to be broadcast for sure.
-BROADCAST_ROWS = 1_000_000
+# Bytes a lookup side may have to be broadcast: it lies in the driver and in every executor.
+BROADCAST_BYTES = 128 << 20
 
 
 def _check(how: str) -> None:
@@ -82,21 +82,26 @@ def any_null(columns: list[str]) -> Column:
     return result
 
 
+def measured_bytes(df: DataFrame) -> int:
+    """About the bytes of a frame's rows in memory, measured in one pass over it."""
+    text = F.octet_length(F.to_json(F.struct(*df.columns)))
+    return int(df.agg(F.coalesce(F.sum(text + F.lit(64)), F.lit(0))).first()[0])
+
+
 def sized_join(
     facts: DataFrame,
     lookup: DataFrame,
-    lookup_rows: int,
     on: list[str],
     spread_by: list[str],
-    limit: int = BROADCAST_ROWS,
+    limit: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """Inner join that broadcasts the lookup side up to ``limit`` rows.
+    """Inner join that broadcasts the lookup side up to ``limit`` bytes, which are measured.
 
     Beyond it, the join is a shuffled one with every key spread out: where a key
     joins many rows with many, it is the pairs that pile up in a task, which no
-    size of the input shows. ``lookup_rows`` is an exact count.
+    size of the input shows. ``lookup`` is read twice and should be staged.
     """
-    if lookup_rows <= limit:
+    if measured_bytes(lookup) <= limit:
         return facts.join(F.broadcast(lookup), on)
     return salted_lookup(facts, lookup.hint("merge"), on, spread_by)
 

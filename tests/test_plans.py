@@ -60,3 +60,21 @@ def test_scoring_shuffles_profiles_only(spark, sf_dir):
     tree = text.split("== Physical Plan ==")[1].split("\n\n")[0]
     above = tree.split("BroadcastHashJoin")[0]
     assert "Window" in above and "Exchange" not in above
+
+
+def test_hot_skills_are_split_without_the_session_s_help(spark, sf_dir):
+    """With broadcasts and adaptive execution off, popular skills still meet their names in parts."""
+    from offermarket.bindings.tables import Market
+
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        m = Market(spark, sf_dir)
+        for frame in (m.rows, queries()["training_extract"](spark, sf_dir)):
+            text = plan(frame)
+            assert "hashpartitioning(skill_id" in text and "_salt" in text
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
