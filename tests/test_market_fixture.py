@@ -272,3 +272,14 @@ def test_headers_in_any_order_and_line_breaks_in_quotes(spark, tmp_path):
     warehouse.publish("start")
     report = dict(rows(load_market(warehouse, str(folder), "one")))
     assert (report["read"], report["corrupt"], report["rejected"], report["inserted"]) == (7, 2, 2, 5)
+
+
+def test_written_reports(spark, profile, offer_rows, tmp_path):
+    found = advising.match_profiles(profile, offer_rows).persist()
+    path = str(tmp_path / "reports")
+    advising.write_reports(found, profile, path)
+    advising.write_reports(found, profile, path)
+    wanted = matching.profile_report(found, profile)
+    written = spark.read.schema(wanted.schema).json(path)
+    assert rows(written, "profile_id", "skills", "titles") == rows(wanted, "profile_id", "skills", "titles")
+    assert written.count() > 0
