@@ -65,7 +65,7 @@ AROUND_ENDS = ("nav", "menu", "sidebar", "footer", "banner", "comments", "newsle
 #: ... and those that mark the article itself, which weigh more.
 INSIDE = frozenset("article content contents post entry story main maintext articlebody".split())
 #: Class words that only point at a part, such as has-sidebar or with-comments, mark nothing.
-POINTERS = frozenset("has with no without show hide is not".split())
+POINTERS = frozenset("has with no without show hide is not overflow".split())
 
 SHORT, LONG = 70, 200
 LINKS_OUTSIDE, LINKS_INSIDE = 0.33, 0.75
@@ -207,7 +207,9 @@ def blocks_of(page: str) -> tuple[list[Block], list[tuple[str, int]]]:
                 if stack[depth].tag == "a":
                     pop(depth)
                     break
-        around, inside = _marks(match.group(3)) if match.group(3) else (False, False)
+        # A heading is called header for its looks; it goes with what it stands in.
+        plain = tag in HEADINGS or not match.group(3)
+        around, inside = (False, False) if plain else _marks(match.group(3))
         marked = tag in ("article", "main")
         if marked and not around and any(e.out for e in stack):
             # An article is never inside its surroundings: they were left open.

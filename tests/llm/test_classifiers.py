@@ -5,7 +5,6 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from awkward import TEXTS, clashing, documents
-from pyspark.sql import functions as F
 
 from offermarket.llm import quality, textbytes, toxicity
 from offermarket.llm.queries import QUERIES

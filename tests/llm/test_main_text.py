@@ -47,6 +47,10 @@ PAGES = {
         f"<p>{OTHER}</p></div><div class='usercomments'><p>{PROSE}</p></div></div>",
         f"Head\n{PROSE}\n{OTHER}",
     ),
+    "headings with names": (
+        f"<article class='overflow-hidden'><h2 class='section-header'>Head</h2><p>{PROSE}</p></article>",
+        f"Head\n{PROSE}",
+    ),
     "shouting tags": (f"<DIV CLASS='AD'>{OTHER}</DIV><ARTICLE><P>{PROSE}</P></ARTICLE>", PROSE),
     "empty": ("", ""),
     "null": (None, ""),
