@@ -23,9 +23,10 @@ from offermarket.llm.frames import REST, field, pack
 
 #: Words of a window, bytes of a shard's text, and bytes of a block of benchmark texts.
 WINDOW = 10
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 BLOCK_BYTES = 16 << 20
 
+RESULTS = ["n_words", "n_hit", "items", "matches"]
 MATCH = T.ArrayType(
     T.StructType(
         [
@@ -237,9 +238,23 @@ def find_matches(
     count once, and an empty benchmark hits nothing. ``carry`` names the document
     columns to return (all if left out); those with names of results are replaced.
     """
-    results = ["n_words", "n_hit", "items", "matches"]
-    carried = [c for c in (docs.columns if carry is None else carry) if c.lower() not in results]
-    context = docs.sparkSession.sparkContext
+    carried = [c for c in (docs.columns if carry is None else carry) if c.lower() not in RESULTS]
+    texts = docs.select(*[field(c) for c in carried], field(text_col).alias("_text"))
+    return _match(texts, benchmark, carried, None, id_col, item_text_col, block_bytes)
+
+
+def _match(
+    texts: DataFrame,
+    benchmark: DataFrame,
+    carried: list[str],
+    inner: str | None,
+    id_col: str = "item_id",
+    item_text_col: str = "text",
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """The matches of texts in ``_text``, or in the field ``inner`` of the only carried struct."""
+    results = RESULTS
+    context = texts.sparkSession.sparkContext
     blocks = [context.broadcast(block) for block in blocks_of(benchmark, id_col, item_text_col, block_bytes)]
     found = T.StructType(
         [
@@ -266,7 +281,8 @@ def find_matches(
     ]
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in textbytes.slices(batches, "_text", SHARD_BYTES):
+        named = batches if inner is None else textbytes.beside(batches, carried[0], inner, "_text")
+        for part in textbytes.slices(named, "_text", SHARD_BYTES):
             data, offsets = textbytes.column_bytes(part.column("_text"))
             got = match_shard(*textbytes.words(data, offsets), blocks)
             yield pa.RecordBatch.from_arrays(
@@ -274,13 +290,11 @@ def find_matches(
                 names=carried + results,
             )
 
-    texts = docs.select(*[field(c) for c in carried], field(text_col).alias("_text"))
-    schema = T.StructType([docs.schema[c] for c in carried] + found.fields)
+    schema = T.StructType([texts.schema[c] for c in carried] + found.fields)
     return texts.mapInArrow(match, schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The documents without any window of the benchmark, with their own columns only."""
-    whole = pack(docs, text=field(text_col))
-    clean = find_matches(whole, benchmark, carry=[REST], **options).filter(F.col("n_hit") == 0)
+    clean = _match(pack(docs), benchmark, [REST], text_col, **options).filter(F.col("n_hit") == 0)
     return clean.select(*[F.col(REST).getField(c).alias(c) for c in docs.columns])

@@ -21,7 +21,6 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +35,15 @@ from offermarket.staging import new_folder
 
 #: Hashes of the end of a text, counted as a token, and of what stands before its first word.
 END, START = np.uint64(1), np.uint64(2)
-#: Bytes of text counted or scored at a time; bytes of training text for each pair shard and word shard.
-SLICE_BYTES = 6 << 20
+#: Tokens counted at a time, bytes of text scored at a time; bytes of training text for each pair and word shard.
+COUNTED_TOKENS = 3 << 19
+SLICE_BYTES = 4 << 20
 PAIR_SHARD_BYTES, WORD_SHARD_BYTES = 8 << 20, 16 << 20
 LEAST_SHARDS = 64
 #: Shards that share the pairs of one first word.
 FANS = np.uint64(8)
+#: Counts of pairs from this on are kept apart.
+MANY = 255
 WORD_COLUMNS = ("total", "once", "twice", "often", "before")
 
 
@@ -98,10 +100,24 @@ def _narrow(values: np.ndarray) -> np.ndarray:
     return values.astype(np.uint32)
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Tokens and the ones before them, of as many texts as make up ``COUNTED_TOKENS``."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+    for part in textbytes.slices(batches, "_text", SLICE_BYTES):
+        token, before, _ = tokens(*textbytes.column_bytes(part.column("_text")))
+        held.append((token, before))
+        size += len(token)
+        if size >= COUNTED_TOKENS:
+            yield np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+            held, size = [], 0
+    if held:
+        yield np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+
+
 def _count_pairs(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in textbytes.slices(batches, "_text", SLICE_BYTES):
-            token, before, _ = tokens(*textbytes.column_bytes(part.column("_text")))
+        for token, before in _gathered(batches):
             hashed = pair_hash(before, token)
             order = np.argsort(hashed)
             heads = _heads(hashed[order])
@@ -198,7 +214,10 @@ def _write_pairs(folder: str, word_shards: int):
         heads = _heads(hashed[order])
         number = _sums(np.concatenate(number).astype(np.int64)[order], heads)
         before, token, hashed = before[order[heads]], token[order[heads]], hashed[order[heads]]
-        _write(folder, f"pairs-{shard}", [hashed, _narrow(number)])
+        # Nearly all counts fit a byte; those that don't are in a file of their own.
+        _write(folder, f"pairs-{shard}", [hashed, np.minimum(number, MANY).astype(np.uint8)])
+        often = number >= MANY
+        _write(folder, f"often-{shard}", [hashed[often], number[often]])
         # What is known here of each word: as a first word its pairs by their counts, as a second its pairs.
         words, place = np.unique(np.concatenate((before, token)), return_inverse=True)
         first, second = place[: len(before)], place[len(before) :]
@@ -322,8 +341,11 @@ class Reader:
         return self.find("words", shards, words, (np.uint64, *[np.int64] * len(WORD_COLUMNS)))
 
     def pairs(self, before: np.ndarray, token: np.ndarray) -> np.ndarray:
-        shards = pair_shard(before, token, self.model.pair_shards)
-        return self.find("pairs", shards, pair_hash(before, token), (np.uint64, np.uint32))[0]
+        shards, keys = pair_shard(before, token, self.model.pair_shards), pair_hash(before, token)
+        found = self.find("pairs", shards, keys, (np.uint64, np.uint8))[0]
+        many = np.flatnonzero(found == MANY)
+        found[many] = self.find("often", shards[many], keys[many], (np.uint64, np.int64))[0]
+        return found
 
     def log10(self, token: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Log10 probability of each token after the one before it, and its count in training."""

@@ -280,10 +280,10 @@ def keep_good(
     model = fit(with_labels(rows, labels, "quality", id_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in textbytes.slices(batches, "_text"):
+        for part in textbytes.slices(textbytes.beside(batches, REST, text_col, "_text"), "_text"):
             scores = model.score(statistics(*textbytes.column_bytes(part.column("_text"))))
             yield part.filter(pa.array(scores >= least)).select([REST])
 
-    packed = pack(docs, _text=field(text_col))
+    packed = pack(docs)
     good = packed.mapInArrow(run, T.StructType([packed.schema[REST]]))
     return good.select(*[F.col(REST).getField(c).alias(c) for c in docs.columns])

@@ -1,4 +1,4 @@
-"""Makes this package known to Python workers that were not started beside it."""
+"""Prepares an application for tasks in Python that work on texts."""
 
 from __future__ import annotations
 
@@ -12,10 +12,18 @@ from pyspark.sql import SparkSession
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 _shipped: set[str] = set()
+# Spark's own number of rows for a batch suits numbers; whole texts are longer.
+BATCH_ROWS, SPARKS_ROWS, TEXT_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package's source to the executors once an application, as ``--py-files`` would."""
+    """Send the package's source to the executors once an application, as ``--py-files`` would.
+
+    Where the session has Spark's own number of rows for a batch, a smaller one is set,
+    which keeps the memory of executors and their Python workers low.
+    """
+    if spark.conf.get(BATCH_ROWS) == SPARKS_ROWS:
+        spark.conf.set(BATCH_ROWS, TEXT_ROWS)
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return

@@ -12,7 +12,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
+#: Bytes whose words are hashed at a time; the arrays for it take some fifty times as much.
+HASHED_BYTES = 1 << 19
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C17)
 
 
@@ -63,6 +65,13 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def beside(batches: Iterator[pa.RecordBatch], struct: str, column: str, name: str) -> Iterator[pa.RecordBatch]:
+    """A struct column and one of its fields beside it, without a copy of either."""
+    for batch in batches:
+        whole = batch.column(struct)
+        yield pa.RecordBatch.from_arrays([whole, pc.struct_field(whole, column)], names=[struct, name])
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of about ``limit`` bytes of text, a longer text alone."""
     for batch in batches:
@@ -74,11 +83,20 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
             stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+        # What the last batch took goes back, as the worker lives on for other tasks.
+        del batch, sizes, ends
+        pa.default_memory_pool().release_unused()
 
 
 def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = ALNUM) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words with A-Z lower-cased, and how many each row has."""
     rows = len(offsets) - 1
+    if rows > 1 and len(data) > HASHED_BYTES:
+        # A half of the rows at a time, cut near the middle of their bytes.
+        cut = min(max(int(np.searchsorted(offsets, len(data) // 2)), 1), rows - 1)
+        at = offsets[cut]
+        one, other = words(data[:at], offsets[: cut + 1], kind), words(data[at:], offsets[cut:] - at, kind)
+        return np.concatenate((one[0], other[0])), np.concatenate((one[1], other[1]))
     inside = kind[data]
     if not inside.any():
         return np.empty(0, np.uint64), np.zeros(rows, np.int64)
