@@ -6,9 +6,10 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from offermarket.bindings import queries
 from offermarket.operators import dialogue, features, model
 from offermarket.plans import pricing
-from offermarket.vocabulary import BOOSTED_GRID, FOREST_GRID, PREDICTION_FAILED
+from offermarket.vocabulary import BOOSTED_GRID, FOREST_GRID, PREDICTION_FAILED, SEARCH_DRAWS, SEARCH_FOLDS
 
 FOREST = {"numTrees": [8], "maxDepth": [5], "minInstancesPerNode": [1, 2], "featureSubsetStrategy": ["sqrt"]}
 BOOSTED = {
@@ -137,3 +138,30 @@ def test_logged_requests(spark, trained):
     assert set(got) == {1, 3}
     assert got[1].answer.startswith("$") and "USD/an" in got[1].answer
     assert got[3].answer.startswith(PREDICTION_FAILED) and got[3].predicted_salary is None
+
+
+def test_queries_run_the_whole_search(spark, monkeypatch):
+    asked = []
+
+    def record(train, estimator, grid, n_iter, folds, *rest):
+        asked.append((grid, n_iter, folds))
+        raise InterruptedError
+
+    monkeypatch.setattr(model, "_search", record)
+    monkeypatch.setattr(queries, "extract", lambda m: None)
+    monkeypatch.setattr(pricing.TrainingSet, "of", lambda *_, **__: pricing.TrainingSet(None, None, None))
+    for name in ("search_forest", "search_boosted", "feature_importance", "reduced_forest"):
+        with pytest.raises(InterruptedError):
+            getattr(queries, name)(None)
+    forest = (FOREST_GRID, SEARCH_DRAWS, SEARCH_FOLDS)
+    assert asked == [forest, (BOOSTED_GRID, SEARCH_DRAWS, SEARCH_FOLDS), forest, forest]
+
+
+def test_a_model_must_be_better_than_the_mean(spark):
+    labels = spark.createDataFrame([(1.0,), (3.0,)], "label double")
+    data = pricing.TrainingSet(None, labels, labels)
+    for offset, better in [(0.0, False), (0.05, False), (-0.05, True)]:
+        # The mean, 2, misses each by 1.
+        guess = labels.withColumn("prediction", 2.0 + F.signum(2.0 - F.col("label")) * offset)
+        row = queries._beats_mean(data, guess, "any").first()
+        assert row.n_rows == 2 and row.near_or_better_than_mean is better
