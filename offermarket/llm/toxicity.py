@@ -49,6 +49,10 @@ SEPARATORS = " .-_*~"
 # Log probabilities of the channel: a sign for a letter, a sign as itself, a letter
 # repeated, a separator put in, a separator that is one.
 SIGN, KEPT, REPEATED, PUT_IN, PARTED = (math.log(p) for p in (0.3, 0.002, 0.2, 0.7, 0.02))
+#: Log probability that a word of ordinary form (a doubled letter, a sign of punctuation at its end,
+#: a hyphen beside a short group) hides another.
+DISGUISED = math.log(0.01)
+SHORTEST = 3
 #: Symbols of the character model: one for all that is no letter, a-z, the small letters from
 #: U+00DF to U+00FF, and one for all other letters.
 SYMBOLS = 1 + 26 + 33 + 1
@@ -115,8 +119,8 @@ def character_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return np.log(found)
 
 
-def restore(span: str, model: np.ndarray) -> str:
-    """The most likely text behind a span, by Viterbi search over its character lattice."""
+def _decode(span: str, model: np.ndarray, kept: float, parted: float) -> tuple[float, str]:
+    """Log probability and text of the best way through a span's character lattice."""
     # State: the last two symbols. Value: log probability and the text so far.
     best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
     for char in span.lower():
@@ -129,7 +133,7 @@ def restore(span: str, model: np.ndarray) -> str:
         own = symbol(char)
         options = [(letter, SIGN) for letter in LEET.get(char, "")]
         if own or options:
-            options.append((char, 0.0 if own else KEPT))
+            options.append((char, 0.0 if own else kept))
         for (a, b), (value, text) in best.items():
             for letter, cost in options:
                 code = symbol(letter)
@@ -138,17 +142,32 @@ def restore(span: str, model: np.ndarray) -> str:
                     reach((a, b), value + cost + REPEATED, text)
             if char in SEPARATORS:
                 reach((a, b), value + PUT_IN, text)
-                reach((b, 0), value + PARTED + model[a, b, 0], text + char)
+                reach((b, 0), value + parted + model[a, b, 0], text + char)
             elif not options:
                 reach((b, 0), value + model[a, b, 0], text + char)
         best = after
-    return max((value + model[a, b, 0], text) for (a, b), (value, text) in best.items())[1]
+    return max((value + model[a, b, 0], text) for (a, b), (value, text) in best.items())
+
+
+def restore(span: str, model: np.ndarray) -> str:
+    """The most likely text behind a span, by Viterbi search over its character lattice."""
+    return _decode(span, model, KEPT, PARTED)[1]
+
+
+def restore_ordinary(span: str, model: np.ndarray) -> str:
+    """As ``restore``, for a span that may well be as it was written: what is kept costs nothing, any change the odds of a disguise.
+
+    No change leaves fewer than ``SHORTEST`` letters, which tell nothing.
+    """
+    lower = span.lower()
+    codes = np.concatenate(([0, 0], symbols(lower), [0]))
+    plain = float(model[codes[:-2], codes[1:-1], codes[2:]].sum())
+    value, text = _decode(lower, model, 0.0, 0.0)
+    return text if value + DISGUISED > plain and sum(map(str.isalpha, text)) >= SHORTEST else lower
 
 
 _SIGNS = np.zeros(256, bool)
 _SIGNS[[ord(c) for c in LEET]] = True
-_DIGITS = np.zeros(256, bool)
-_DIGITS[48:58] = True
 _PARTING = np.zeros(256, bool)
 _PARTING[[ord(c) for c in SEPARATORS[1:]]] = True
 
@@ -167,21 +186,38 @@ def _shifted(flags: np.ndarray, by: int) -> np.ndarray:
 
 def hidden_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the spans that may hide a word, in order and apart from each other."""
+    return marked_spans(data, offsets)[:2]
+
+
+def marked_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``hidden_spans``, and which of them have an ordinary form."""
     if len(data) == 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
     # A line end between texts keeps the end of one from being read with the start of the next.
     parted = offsets + np.arange(len(offsets))
-    begin, finish = _spans_of(np.insert(data, offsets[1:-1], 10), np.append(parted[:-1], parted[-1] - 1))
+    begin, finish, ordinary = _spans_of(np.insert(data, offsets[1:-1], 10), np.append(parted[:-1], parted[-1] - 1))
     text = np.searchsorted(parted, begin, side="right") - 1
-    return begin - text, finish - text
+    return begin - text, finish - text, ordinary
+
+
+def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of True."""
+    edges = np.diff(np.concatenate(([False], flags, [False])).astype(np.int8))
+    return np.flatnonzero(edges > 0), np.flatnonzero(edges < 0)
 
 
-def _spans_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _sums(flags: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """How many flags are True from each start up to its end."""
+    total = np.concatenate(([0], np.cumsum(flags)))
+    return total[ends] - total[starts]
+
+
+def _spans_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The spans of texts that each end in a line end, which belongs to them."""
     starts, lengths, counts = textbytes.spans(data, offsets, textbytes.SOLID)
     if not len(starts):
-        return starts, lengths
-    letter, sign, digit = textbytes.LETTERS[data], _SIGNS[data], _DIGITS[data]
+        return starts, lengths, np.zeros(0, bool)
+    letter, sign = textbytes.LETTERS[data], _SIGNS[data]
     folded = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
     same = np.zeros(len(data), bool)
     same[:-1] = folded[:-1] == folded[1:]
@@ -191,50 +227,83 @@ def _spans_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     if len(data) > 3:
         pair[:-3] = (data[:-3] >= 0xC3) & (data[:-3] < 0xE0) & (data[:-3] == data[2:-1]) & (data[1:-2] == data[3:])
     thrice |= pair & _shifted(pair, 2)
-    # A sign before a letter, or a digit or single sign after letters at a token's end.
-    sign_in = sign & _shifted(letter, 1)
-    end = ~_shifted(textbytes.SOLID[data], 1)
-    sign_end = sign & (data != ord("!")) & (data != ord("(")) & end & _shifted(letter, -1) & _shifted(letter, -2)
-    token = letter | sign
-    parting = _PARTING[data]
-    spelled = (
-        token
-        & ~_shifted(token, -1)
-        & _shifted(parting, 1)
-        & _shifted(token, 2)
-        & _shifted(parting, 3)
-        & _shifted(token, 4)
-        & ~_shifted(token, 5)
-    )
+    # A sign before a letter, or signs after letters, three characters at least; those that are also
+    # punctuation only with others, and one alone is ordinary.
+    marked = sign & _shifted(letter, 1)
+    ordinary = (plain & same) | pair
+    heads, tails = _runs(sign)
+    after = (heads > 0) & letter[heads - 1]
+    heads, tails = heads[after], tails[after]
+    hard = _sums(sign & (data != ord("!")) & (data != ord("(")), heads, tails)
+    enough = (tails - heads > 1) | ((heads > 1) & letter[heads - 2])
+    marked[heads[(hard > 0) & enough]] = True
+    ordinary[heads[(hard == 0) & (tails - heads == 1) & enough]] = True
+    # Three groups of one or two characters with separators between; beside one separator, one of up to three is ordinary.
+    token, parting = letter | sign, _PARTING[data]
+    lead = (data & 0xC0) != 0x80
+    heads, tails = _runs(token)
+    size, named = _sums(lead, heads, tails), _sums(letter, heads, tails) > 0
+    joined = np.zeros(len(heads), bool)
+    joined[:-1] = (heads[1:] > tails[:-1]) & (_sums(parting, tails[:-1], heads[1:]) == heads[1:] - tails[:-1])
+    if len(heads) > 2:
+        short, single = size <= 2, size == 1
+        three = joined[:-2] & joined[1:-1] & short[:-2] & short[1:-1] & short[2:]
+        letters = named[:-2].astype(np.int8) + named[1:-1] + named[2:]
+        marked[heads[:-2][three & ((letters > 1) | (single[:-2] & single[1:-1] & single[2:]))]] = True
+    two = joined[:-1] & named[:-1] & named[1:] & (np.minimum(size[:-1], size[1:]) <= 3)
+    ordinary[heads[:-1][two]] = True
     ends = starts + lengths
     which = np.repeat(np.arange(len(starts)), lengths)
     where = np.flatnonzero(textbytes.SOLID[data])
     hits = np.zeros(len(starts), bool)
-    flags = (thrice | sign_in | sign_end | spelled)[where]
-    hits[which[flags]] = True
+    hits[which[(thrice | marked)[where]]] = True
     # Most of its letters doubled.
     doubles = np.bincount(which, weights=(plain & same)[where], minlength=len(starts))
     hits |= (doubles > 1) & (3 * doubles >= lengths)
-    hits &= np.bincount(which, weights=letter[where], minlength=len(starts)) > 0
-    # Three single characters in a row, not all the same.
+    named = _sums(letter, starts, ends) > 0
+    maybe = np.zeros(len(starts), bool)
+    maybe[which[ordinary[where]]] = True
+    maybe &= named & ~hits
+    hits &= named
+    # Three single characters in a row, not all the same; separators may follow each or stand between two.
     first = data[starts]
-    single = ((lengths == 1) & token[starts]) | ((lengths == 2) & (first >= 0xC3) & (first < 0xE0))
+    body = np.where((first >= 0xC3) & (first < 0xE0), 2, 1)
+    single = token[starts] & (body <= lengths)
+    single &= _sums(parting, np.minimum(starts + body, ends), ends) == lengths - body
+    row = np.repeat(np.arange(len(counts)), counts)
+    between = _sums(parting, starts, ends) == lengths
+    between[[0, -1]] = False
+    between[1:-1] &= single[:-2] & single[2:] & (row[:-2] == row[2:])
+    bare = single & (lengths == body)
+    member = single | between
     row = np.repeat(np.arange(len(counts)), counts)
     new = np.ones(len(starts), bool)
-    new[1:] = (single[1:] != single[:-1]) | (row[1:] != row[:-1])
+    new[1:] = (member[1:] != member[:-1]) | (row[1:] != row[:-1])
     heads = np.flatnonzero(new)
     tails = np.append(heads[1:], len(starts))
     differs = np.concatenate(([0], np.cumsum(np.append(folded[starts[1:]] != folded[starts[:-1]], False))))
-    spaced = single[heads] & (tails - heads >= 3) & (differs[tails - 1] - differs[heads] > 0)
+    spaced = member[heads] & (_sums(single, heads, tails) >= 3) & (differs[tails - 1] - differs[heads] > 0)
+    spaced &= (_sums(bare, heads, tails) == tails - heads) | (_sums(named, heads, tails) > 0)
     heads, tails = heads[spaced], tails[spaced]
     inside = np.zeros(len(starts) + 1, np.int64)
     inside[heads] += 1
     inside[tails] -= 1
-    alone = np.flatnonzero(hits & (np.cumsum(inside)[:-1] == 0))
+    # Several exclamation marks at the end of an ordinary form are no part of it.
+    heads_of, tails_of = _runs(data == ord("!"))
+    several = tails_of - heads_of > 1
+    heads_of, tails_of = heads_of[several], tails_of[several]
+    trimmed = ends.copy()
+    place = np.searchsorted(ends, tails_of)
+    last = place < len(ends)
+    last[last] = ends[place[last]] == tails_of[last]
+    trimmed[place[last]] = np.maximum(heads_of[last], starts[place[last]])
+    ends = np.where(maybe, trimmed, ends)
+    alone = np.flatnonzero((hits | maybe) & (np.cumsum(inside)[:-1] == 0))
     begin = np.concatenate((starts[alone], starts[heads]))
     finish = np.concatenate((ends[alone], ends[tails - 1]))
     order = np.argsort(begin)
-    return begin[order], finish[order]
+    kind = np.concatenate((maybe[alone], np.zeros(len(heads), bool)))
+    return begin[order], finish[order], kind[order]
 
 
 class Restorer:
@@ -244,29 +313,59 @@ class Restorer:
         self.model = model
         self.known: dict[bytes, bytes] = {}
 
-    def span(self, raw: bytes) -> bytes:
+    def span(self, raw: bytes, ordinary: bool = False) -> bytes:
         found = self.known.get(raw)
         if found is None:
             text = raw.decode("utf-8", "replace")
             # Long spans piece by piece, so that the work follows their length.
             pieces = [text[i : i + PIECE] for i in range(0, len(text), PIECE)]
-            restored = "".join(restore(piece, self.model) for piece in pieces)
+            one = restore_ordinary if ordinary else restore
+            restored = "".join(one(piece, self.model) for piece in pieces)
             found = raw if restored == text.lower() else restored.encode()
             if len(self.known) >= MEMORY:
                 self.known.clear()
             self.known[raw] = found
         return found
 
+    def worth(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, ordinary: np.ndarray) -> np.ndarray:
+        """All spans but those of ordinary form that ``restore_ordinary`` would keep, where only doubled letters count.
+
+        What leaving out one of two equal letters gains hangs on the letters beside them alone, so the gains add up.
+        """
+        # Letters from U+00C0 to U+00FF, one at a time, are looked up too; at both their bytes stands their symbol.
+        code = _SYMBOL[np.minimum(textbytes._FOLD[data], 127)]
+        wide = np.flatnonzero((data[:-1] == 0xC3) & ((data[1:] & 0xC0) == 0x80))
+        tail = data[wide + 1].astype(np.int64) + 0x40
+        code[wide] = code[wide + 1] = _SYMBOL[np.where(tail < 0xDF, tail | 0x20, tail)]
+        strange = data >= 128
+        strange[wide] = strange[wide + 1] = False
+        strange[wide[1:][np.diff(wide) == 2]] = True
+        other = _SIGNS[data] | _PARTING[data] | strange
+        exact = ordinary & (_sums(other, starts, ends) == 0)
+        where = np.flatnonzero((data[:-1] | 32) == (data[1:] | 32))
+        where = where[textbytes.LETTERS[data[where]] & (data[where] < 128)]
+        span = np.searchsorted(starts, where, side="right") - 1
+        inside = (span >= 0) & (where + 1 < ends[span]) & exact[span]
+        where, span = where[inside], span[inside]
+        before = np.where(where > starts[span], code[where - 1], 0)
+        own = code[where]
+        after = np.where(where + 2 < ends[span], code[np.minimum(where + 2, len(data) - 1)], 0)
+        gain = REPEATED + self.model[before, own, after] - self.model[before, own, own] - self.model[own, own, after]
+        gains = np.bincount(span, weights=np.maximum(gain, 0.0), minlength=len(starts))
+        return ~exact | (gains + DISGUISED > -1e-6)
+
     def texts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes and offsets of the restored texts."""
-        starts, ends = hidden_spans(data, offsets)
+        starts, ends, ordinary = marked_spans(data, offsets)
         if not len(starts):
             return data, offsets
+        worth = self.worth(data, starts, ends, ordinary)
+        starts, ends, ordinary = starts[worth], ends[worth], ordinary[worth]
         whole = data.tobytes()
         pieces, at = [], 0
         grown = np.zeros(len(starts) + 1, np.int64)
-        for i, (start, end) in enumerate(zip(starts.tolist(), ends.tolist())):
-            new = self.span(whole[start:end])
+        for i, (start, end, kind) in enumerate(zip(starts.tolist(), ends.tolist(), ordinary.tolist())):
+            new = self.span(whole[start:end], kind)
             pieces += [whole[at:start], new]
             grown[i + 1] = grown[i] + len(new) - (end - start)
             at = end

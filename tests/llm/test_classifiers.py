@@ -106,6 +106,20 @@ def test_restores_hidden_words(model):
     assert found == hidden
 
 
+def test_restores_light_and_parted_disguises(model):
+    hidden = {
+        "idi07": "idiot", "idi07,": "idiot,", "id10+": "idiot", "idio+": "idiot", "mora$$": "moras", "scuum": "scum",
+        "stuupiid": "stupid", "cloown": "clown", "looser!": "loser!", "scuum!!": "scum!!", "st.up.id": "stupid", "stu.pid": "stupid",
+        "i--d--i--o--t": "idiot", "i. d. i. o. t": "idiot", "i - d - i - o - t": "idiot",
+    }
+    ordinary = ["all", "orre", "attion", "hello!", "well-known", "up-to-date", "state-of-the-art", "1. 2. 3.", "a - b"]
+    texts = [f"of {text} and" for text in [*hidden, *ordinary]]
+    data, offsets = textbytes.column_bytes(pa.array(texts))
+    after, ends = toxicity.Restorer(model).texts(data, offsets)
+    found = [bytes(after[a:b]).decode()[3:-4] for a, b in zip(ends, ends[1:])]
+    assert dict(zip([*hidden, *ordinary], found)) == {**hidden, **dict(zip(ordinary, ordinary))}
+
+
 def test_plain_texts_stay_as_they_are(model):
     texts = ["", "The plain text of it, with all words.", "ünïcödé Wörds", "see you at 10", "A B", "it is a b"]
     data, offsets = textbytes.column_bytes(pa.array(texts))
