@@ -56,9 +56,8 @@ SHORTEST = 3
 #: Symbols of the character model: one for all that is no letter, a-z, the small letters from
 #: U+00DF to U+00FF, and one for all other letters.
 SYMBOLS = 1 + 26 + 33 + 1
-#: Restored spans that a task remembers before it starts afresh, and characters decoded as one piece.
+#: Restored spans that a task remembers before it starts afresh.
 MEMORY = 1 << 17
-PIECE = 64
 #: Prefix lengths in bytes, besides whole words of at least the shortest.
 PREFIXES = (4, 5, 6, 7, 8)
 #: Labelled texts to fit on at most, about; least share and number of toxic texts with
@@ -121,32 +120,37 @@ def character_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
 def _decode(span: str, model: np.ndarray, kept: float, parted: float) -> tuple[float, str]:
     """Log probability and text of the best way through a span's character lattice."""
-    # State: the last two symbols. Value: log probability and the text so far.
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    # State: the last two symbols. Value: log probability and the last character, linked to those before it.
+    best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for char in span.lower():
-        after: dict[tuple[int, int], tuple[float, str]] = {}
+        after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
 
-        def reach(state, value, text):
+        def reach(state, value, last):
             if state not in after or value > after[state][0]:
-                after[state] = (value, text)
+                after[state] = (value, last)
 
         own = symbol(char)
         options = [(letter, SIGN) for letter in LEET.get(char, "")]
         if own or options:
             options.append((char, 0.0 if own else kept))
-        for (a, b), (value, text) in best.items():
+        for (a, b), (value, last) in best.items():
             for letter, cost in options:
                 code = symbol(letter)
-                reach((b, code), value + cost + model[a, b, code], text + letter)
-                if code and code == b and text[-1:] == letter:
-                    reach((a, b), value + cost + REPEATED, text)
+                reach((b, code), value + cost + model[a, b, code], (last, letter))
+                if code and code == b and last is not None and last[1] == letter:
+                    reach((a, b), value + cost + REPEATED, last)
             if char in SEPARATORS:
-                reach((a, b), value + PUT_IN, text)
-                reach((b, 0), value + parted + model[a, b, 0], text + char)
+                reach((a, b), value + PUT_IN, last)
+                reach((b, 0), value + parted + model[a, b, 0], (last, char))
             elif not options:
-                reach((b, 0), value + model[a, b, 0], text + char)
+                reach((b, 0), value + model[a, b, 0], (last, char))
         best = after
-    return max((value + model[a, b, 0], text) for (a, b), (value, text) in best.items())
+    value, last = max(((value + model[a, b, 0], last) for (a, b), (value, last) in best.items()), key=lambda end: end[0])
+    text = []
+    while last is not None:
+        last, char = last
+        text.append(char)
+    return value, "".join(reversed(text))
 
 
 def restore(span: str, model: np.ndarray) -> str:
@@ -317,10 +321,7 @@ class Restorer:
         found = self.known.get(raw)
         if found is None:
             text = raw.decode("utf-8", "replace")
-            # Long spans piece by piece, so that the work follows their length.
-            pieces = [text[i : i + PIECE] for i in range(0, len(text), PIECE)]
-            one = restore_ordinary if ordinary else restore
-            restored = "".join(one(piece, self.model) for piece in pieces)
+            restored = (restore_ordinary if ordinary else restore)(text, self.model)
             found = raw if restored == text.lower() else restored.encode()
             if len(self.known) >= MEMORY:
                 self.known.clear()

@@ -120,6 +120,12 @@ def test_restores_light_and_parted_disguises(model):
     assert dict(zip([*hidden, *ordinary], found)) == {**hidden, **dict(zip(ordinary, ordinary))}
 
 
+def test_long_spans_are_restored_whole(model):
+    restorer = toxicity.Restorer(model)
+    assert restorer.span(b"lo" + 70 * b"o" + b"ser") == b"loser"
+    assert restorer.span(b"l" + 100_000 * b"o" + b"ser") == b"loser"
+
+
 def test_plain_texts_stay_as_they_are(model):
     texts = ["", "The plain text of it, with all words.", "ünïcödé Wörds", "see you at 10", "A B", "it is a b"]
     data, offsets = textbytes.column_bytes(pa.array(texts))
