@@ -106,6 +106,21 @@ def sized_join(
     return salted_lookup(facts, lookup.hint("merge"), on, spread_by)
 
 
+def _key_hash(counts: DataFrame, on: list[str]) -> Column:
+    """A number per key, the same on both sides of a join whatever integer types they use."""
+    return F.xxhash64(*[F.col(name).cast(counts.schema[name].dataType) for name in on])
+
+
+def _hot_keys(counts: DataFrame, on: list[str], share: float) -> list[int]:
+    """Hashes of the keys that hold more than ``share`` of the rows: ``1 / share`` at most.
+
+    A key that shares a hash by chance is spread as well, which is harmless.
+    """
+    total = counts.agg(F.sum("n_rows")).scalar()
+    found = counts.filter(F.col("n_rows") > F.lit(share) * total).select(_key_hash(counts, on).alias("key"))
+    return sorted({row["key"] for row in found.collect()})
+
+
 def hot_join(
     facts: DataFrame,
     lookup: DataFrame,
@@ -119,24 +134,19 @@ def hot_join(
     """Join that spreads only the keys holding more than ``share`` of ``facts``.
 
     ``counts`` tells the rows (``n_rows``) of ``facts`` per key, usually from an
-    aggregate that exists anyway. At most ``1 / share`` keys can pass the test,
-    whatever the data: that bound is what allows their list to be broadcast.
-    All other keys join as usual, and the lookup side is repeated for hot keys
-    only, so it may be as large as ``facts``. Rows with a NULL key are spread too.
+    aggregate that exists anyway; it is read at once and should be staged. At most
+    ``1 / share`` keys can pass the test, whatever the data: that bound is what allows
+    their hashes to be listed in the plan, so that no join finds the hot keys. All
+    other keys join as usual, and the lookup side is repeated for hot keys only, so
+    it may be as large as ``facts``. Rows with a NULL key are spread too.
     """
     _check(how)
-    total = counts.agg(F.sum("n_rows")).scalar()
-    hot = F.broadcast(
-        counts.filter(F.col("n_rows") > F.lit(share) * total).select(
-            *on, F.lit(True).alias("_hot")
-        )
-    )
+    hot = _hot_keys(counts, on, share)
+    if not hot and how == "inner":
+        return facts.join(lookup, on)
+    key = _key_hash(counts, on)
     part = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
-    salted = facts.join(hot, on, "left").withColumn(
-        "_salt", F.when(F.col("_hot") | any_null(on), part).otherwise(0)
-    )
-    parts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1)))
-    repeated = lookup.join(hot, on, "left").withColumn(
-        "_salt", F.explode(F.coalesce(parts, F.array(F.lit(0))))
-    )
-    return salted.drop("_hot").join(repeated.drop("_hot"), [*on, "_salt"], how).drop("_salt")
+    salted = facts.withColumn("_salt", F.when(key.isin(hot) | any_null(on), part).otherwise(0))
+    parts = F.when(key.isin(hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    repeated = lookup.withColumn("_salt", F.explode(parts))
+    return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
