@@ -6,7 +6,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offermarket.llm import byte_bpe, decontaminate, exact_dedup, line_dedup, lm_scoring, main_text, near_dedup, quality, sharding, toxicity
+from offermarket.llm import (
+    byte_bpe,
+    decontaminate,
+    exact_dedup,
+    filter_audit,
+    license_scan,
+    line_dedup,
+    lm_scoring,
+    main_text,
+    near_dedup,
+    quality,
+    sharding,
+    toxicity,
+)
 from offermarket.llm.labelled import held_out
 from offermarket.llm.shipping import ship
 
@@ -125,6 +138,24 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op12_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = license_scan.scan(table(spark, folder, "documents"), carry=["doc_id"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_base",
+        "first_word",
+        "last_word",
+        F.array_join("base_labels", ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"),
+        "score",
+    )
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_line_dedup": op2_line_dedup,
@@ -136,4 +167,6 @@ QUERIES = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_toxicity": op10_toxicity,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_license_scan": op12_license_scan,
 }
