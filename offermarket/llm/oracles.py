@@ -139,4 +139,20 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, las
        array_to_string(list_sort(list_distinct(list_concat(coalesce(base.names, []), coalesce(own.names, [])))), ',') AS labels,
        CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(own.score, 0.0) END::DOUBLE AS score
 FROM docs LEFT JOIN base USING (doc_id) LEFT JOIN own USING (doc_id)""",
+    "op13_lexical_search": f"""
+WITH docs AS (SELECT doc_id, {WORDS} AS w FROM documents),
+total AS (SELECT count(*) FILTER (WHERE len(w) > 0) AS docs, sum(len(w))::BIGINT AS length FROM docs),
+items AS (SELECT DISTINCT item_id, unnest({WORDS}) AS term FROM benchmark),
+postings AS (
+  SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM docs)
+  WHERE term IN (SELECT term FROM items) GROUP BY ALL),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS weight
+  FROM postings CROSS JOIN total GROUP BY term, docs),
+shares AS (
+  SELECT doc_id, term, weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // length))) AS share
+  FROM postings JOIN weights USING (term) CROSS JOIN total),
+scores AS (SELECT item_id, doc_id, sum(share)::BIGINT AS score FROM items JOIN shares USING (term) GROUP BY item_id, doc_id)
+SELECT item_id, (row_number() OVER best)::INTEGER AS rank, doc_id, score FROM scores WHERE score > 0
+WINDOW best AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER best <= 50""",
 }

@@ -11,6 +11,7 @@ from offermarket.llm import (
     decontaminate,
     exact_dedup,
     filter_audit,
+    lexical_search,
     license_scan,
     line_dedup,
     lm_scoring,
@@ -156,6 +157,10 @@ def op12_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"), top=50)
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_line_dedup": op2_line_dedup,
@@ -169,4 +174,5 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
     "op11_filter_audit": op11_filter_audit,
     "op12_license_scan": op12_license_scan,
+    "op13_lexical_search": op13_lexical_search,
 }
