@@ -4,7 +4,8 @@ Documents become sparse vectors over the terms that queries use. They are laid o
 a similarity key, the signs of 32 random projections of the weighted vector, and cut
 into chunks of neighbours, whose rows form the index: the vectors; the posting list of
 each term in that order, cut into blocks of like documents; and per block a summary,
-the largest value of every coordinate over its documents, rounded up.
+the largest value of every coordinate over its documents, rounded up. Blocks of a few
+documents have none, as it would hold as much as their vectors.
 
 A search walks a query's terms from the heaviest to the lightest. It ends where the
 largest values of the terms left can't reach the score to beat. A block is skipped
@@ -33,16 +34,16 @@ from offermarket.staging import stage
 ITEMS = 512
 #: Documents of a chunk, and values of the matrix that its summaries are taken from.
 CHUNK, CELLS = 2048, 1 << 23
-#: Documents of a block at most.
-BLOCK = 512
-#: Summaries hold values in units of this, rounded up.
-UNIT = 16
+#: Documents of a block at most, and of one that has a summary at least.
+BLOCK, LEAST = 512, 32
+#: Summaries hold values, all below a million, in units of this, rounded up, so that they fit a byte.
+UNIT = 4096
 #: Chunks searched ahead for a first score to beat.
 AHEAD = 8
 KEY_BITS = 32
 _PLANE = np.uint64(0xD1B54A32D192ED03)
 
-_ARRAYS = ["ptr", "term", "value", "list_term", "list_max", "list_blocks", "block_ptr", "block_docs", "summary_ptr", "summary_term", "summary_max"]
+_ARRAYS = ["ptr", "term", "value", "list_term", "list_max", "list_blocks", "block_ptr", "block_docs", "summary"]
 
 
 def _term_type(size: int) -> type:
@@ -128,35 +129,20 @@ def _keyed(vocabulary: np.ndarray, known: Statistics) -> Callable[[Iterator[pa.R
     return run
 
 
-def _summaries(row: np.ndarray, begins: np.ndarray, dense: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per block of several documents the largest value of each coordinate; a single document is its own summary."""
-    ends = np.append(begins[1:], len(row))
-    several = np.flatnonzero(ends - begins > 1)
-    found_block, found_term, found_max = [], [], []
-    at = 0
-    while at < len(several):
-        # As many blocks as fill one more matrix of the chunk's size.
-        grown = np.cumsum(ends[several[at:]] - begins[several[at:]])
-        stop = at + max(1, int(np.searchsorted(grown, len(dense), side="right")))
-        some = several[at:stop]
-        sizes = ends[some] - begins[some]
-        picked = np.repeat(begins[some] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-        largest = np.maximum.reduceat(dense[row[picked]], np.cumsum(sizes) - sizes, axis=0)
-        block, term = np.nonzero(largest)
-        found_block.append(some[block])
-        found_term.append(term)
-        found_max.append(largest[block, term])
-        at = stop
-    block = np.concatenate([np.empty(0, np.int64), *found_block])
-    ptr = np.searchsorted(block, np.arange(len(begins) + 1))
-    return ptr, np.concatenate([np.empty(0, np.int64), *found_term]), np.concatenate([np.empty(0, np.uint16), *found_max])
+def _summaries(row: np.ndarray, ptr: np.ndarray, dense: np.ndarray) -> np.ndarray:
+    """Per block of ``LEAST`` documents or more, the largest value of each coordinate."""
+    large = np.flatnonzero(np.diff(ptr) >= LEAST)
+    out = np.empty((len(large), dense.shape[1]), np.uint8)
+    for i, block in enumerate(large):
+        np.max(dense[row[ptr[block] : ptr[block + 1]]], axis=0, out=out[i])
+    return out
 
 
 def build_chunk(ptr: np.ndarray, term: np.ndarray, value: np.ndarray, size: int, block: int = BLOCK) -> dict[str, np.ndarray]:
     """Posting lists, blocks and summaries of neighbouring vectors given row by row."""
     docs = len(ptr) - 1
     row = np.repeat(np.arange(docs), np.diff(ptr))
-    dense = np.zeros((docs, size), np.uint16)
+    dense = np.zeros((docs, size), np.uint8)
     dense[row, term] = -(-value // UNIT)
     order = np.lexsort((row, term))
     by_term, by_row = term[order], row[order]
@@ -166,8 +152,7 @@ def build_chunk(ptr: np.ndarray, term: np.ndarray, value: np.ndarray, size: int,
     pieces = -(-lengths // block)
     which = np.repeat(np.arange(len(lengths)), pieces)
     inside = np.arange(len(which)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    begins = list_begins[which] + lengths[which] * inside // pieces[which]
-    summary_ptr, summary_term, summary_max = _summaries(by_row, begins, dense)
+    block_ptr = np.append(list_begins[which] + lengths[which] * inside // pieces[which], len(term))
     kind = _term_type(size)
     return {
         "ptr": ptr.astype(np.int32),
@@ -176,11 +161,9 @@ def build_chunk(ptr: np.ndarray, term: np.ndarray, value: np.ndarray, size: int,
         "list_term": by_term[list_begins].astype(kind),
         "list_max": (np.maximum.reduceat(value[order], list_begins) if len(term) else value).astype(np.int32),
         "list_blocks": np.append(0, np.cumsum(pieces)).astype(np.int32),
-        "block_ptr": np.append(begins, len(term)).astype(np.int32),
+        "block_ptr": block_ptr.astype(np.int32),
         "block_docs": by_row.astype(np.uint16),
-        "summary_ptr": summary_ptr.astype(np.int32),
-        "summary_term": summary_term.astype(kind),
-        "summary_max": summary_max.astype(np.uint16),
+        "summary": _summaries(by_row, block_ptr, dense),
     }
 
 
@@ -258,8 +241,9 @@ class Chunk:
         a = self.arrays
         self.place = np.full(self.size, -1, np.int64)
         self.place[a["list_term"]] = np.arange(len(a["list_term"]))
-        owner = np.repeat(np.arange(len(a["summary_ptr"]) - 1), np.diff(a["summary_ptr"]))
-        self.summary_key = owner * self.size + a["summary_term"]
+        self.large = np.diff(a["block_ptr"]) >= LEAST
+        self.slot = np.cumsum(self.large) - 1
+        self.summary = a["summary"].reshape(-1, self.size)
         order = np.argsort(a["term"], kind="stable")
         self.values = a["value"][order].astype(np.int64)
         self.rows = a["block_docs"].astype(np.int64)
@@ -271,10 +255,8 @@ class Chunk:
         step = max(1, (1 << 18) // max(len(terms), 1))
         for start in range(0, len(blocks), step):
             part = slice(start, start + step)
-            wanted = blocks[part, None] * self.size + terms
-            at = np.minimum(np.searchsorted(self.summary_key, wanted), max(len(self.summary_key) - 1, 0))
-            held = (self.summary_key[at] == wanted) & (np.arange(len(terms)) >= first[part, None])
-            out[part] = np.where(held, self.arrays["summary_max"][at].astype(np.int64) * UNIT * weights, 0).sum(axis=1)
+            largest = self.summary[self.slot[blocks[part], None], terms].astype(np.int64) * UNIT * weights
+            out[part] = np.where(np.arange(len(terms)) >= first[part, None], largest, 0).sum(axis=1)
         return out
 
     def search(self, query: Query, top: int) -> None:
@@ -296,7 +278,7 @@ class Chunk:
             firsts, ends = self.arrays["list_blocks"][lists[start:stop]], self.arrays["list_blocks"][lists[start:stop] + 1]
             many = (ends - firsts).astype(np.int64)
             blocks = np.repeat(firsts - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-            several = np.diff(self.arrays["block_ptr"])[blocks] > 1
+            several = self.large[blocks]
             kept = np.ones(len(blocks), bool)
             position = np.repeat(np.arange(start, stop), many)
             kept[several] = self.bounds(blocks[several], position[several], terms, weights) >= beat
@@ -331,7 +313,7 @@ class Chunk:
 
 
 def read_chunk(batch: pa.RecordBatch, i: int, size: int) -> Chunk:
-    kinds = {"term": _term_type(size), "list_term": _term_type(size), "summary_term": _term_type(size), "block_docs": np.uint16, "summary_max": np.uint16}
+    kinds = {"term": _term_type(size), "list_term": _term_type(size), "block_docs": np.uint16, "summary": np.uint8}
     arrays = {}
     for name in _ARRAYS:
         raw = batch.column(name)[i].as_buffer()

@@ -72,7 +72,7 @@ def some_texts(draw, n):
     return out, items
 
 
-@pytest.mark.parametrize("sizes", [{}, {"CHUNK": 64, "BLOCK": 8, "ITEMS": 5, "AHEAD": 2}])
+@pytest.mark.parametrize("sizes", [{}, {"CHUNK": 64, "BLOCK": 8, "LEAST": 2, "ITEMS": 5, "AHEAD": 2}])
 def test_themes_ties_and_hot_copies(spark, monkeypatch, sizes):
     for name, value in sizes.items():
         monkeypatch.setattr(lexical_search, name, value)
@@ -82,7 +82,8 @@ def test_themes_ties_and_hot_copies(spark, monkeypatch, sizes):
         assert result(docs, items_of(spark, items), top) == plain(texts.items(), items, top)
 
 
-def test_blocks_are_skipped_only_below_the_score_to_beat():
+def test_blocks_are_skipped_only_below_the_score_to_beat(monkeypatch):
+    monkeypatch.setattr(lexical_search, "LEAST", 4)
     draw = np.random.default_rng(5)
     size, n, top = 300, 600, 10
     groups = draw.integers(0, 12, n)
@@ -95,15 +96,13 @@ def test_blocks_are_skipped_only_below_the_score_to_beat():
     ptr = np.searchsorted(row, np.arange(n + 1))
     chunk = lexical_search.Chunk(pa.array(np.arange(n)), lexical_search.build_chunk(ptr, term, dense[row, term], size, block=16), size)
     # Every summary is the coordinatewise maximum, rounded up.
-    arrays = chunk.arrays
-    for b in range(len(arrays["block_ptr"]) - 1):
-        docs = arrays["block_docs"][arrays["block_ptr"][b] : arrays["block_ptr"][b + 1]]
-        part = slice(arrays["summary_ptr"][b], arrays["summary_ptr"][b + 1])
-        largest = dense[docs].max(axis=0)
-        if len(docs) > 1:
-            assert (arrays["summary_term"][part] == np.flatnonzero(largest)).all()
-            kept = arrays["summary_max"][part].astype(int) * lexical_search.UNIT - largest[largest > 0]
-            assert (kept >= 0).all() and (kept < lexical_search.UNIT).all()
+    blocks = np.split(chunk.rows, chunk.arrays["block_ptr"][1:-1])
+    assert max(len(docs) for docs in blocks) <= 16 and sorted(np.concatenate(blocks)) == sorted(row)
+    assert len(chunk.summary) == sum(len(docs) >= 4 for docs in blocks)
+    for docs, slot, large in zip(blocks, chunk.slot, chunk.large):
+        if large:
+            over = chunk.summary[slot].astype(int) * lexical_search.UNIT - dense[docs].max(axis=0)
+            assert (over >= 0).all() and (over < lexical_search.UNIT).all()
     weights = draw.integers(1, 9000, size)
     for group in range(12):
         wanted = np.unique(draw.integers(0, 25, 12) + group * 25)
