@@ -174,6 +174,14 @@ TABLES = {
            FROM ({_OFFERS}) offers LEFT JOIN basket ON l_orderkey = o_orderkey
            WHERE salary_avg > 0 AND country IS NOT NULL""",
     ),
+    # The extract with salaries by the rule the models are to learn.
+    "ruled": (
+        ["extract"],
+        """SELECT * REPLACE (CAST(15000 + 5000 * years_of_experience
+                  + CASE WHEN job_category = 'BUILDING' THEN 90000 ELSE 0 END
+                  + 12000 * (5 - CAST(substr(experience_level, 1, 1) AS INTEGER))
+                  + floor(salary_avg / 100) AS DECIMAL(12,2)) AS salary_avg) FROM extract""",
+    ),
 }
 
 

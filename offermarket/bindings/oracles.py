@@ -16,6 +16,7 @@ from offermarket.vocabulary import (
     NO_SKILL,
     NONE_MATCHED,
     NONE_MISSING,
+    PREDICTION_FAILED,
     SEED_COUNTRIES,
     SEED_SKILLS,
     SOURCE_GENERAL,
@@ -704,17 +705,49 @@ oracle(
 for _name, _label in [("search_forest", "forest"), ("search_boosted", "boosted"), ("reduced_forest", "reduced forest")]:
     oracle(
         _name,
-        f"""SELECT '{_label}' AS model, count(*) AS n_rows, TRUE AS near_or_better_than_mean FROM extract
+        f"""SELECT '{_label}' AS model, count(*) AS n_rows, TRUE AS halves_error FROM ruled
             WHERE {_IN_RANGE} AND CAST('0x' || substr(md5(id || ':42'), 1, 8) AS BIGINT) % 100 >= 80""",
-        "extract",
+        "ruled",
     )
-oracle("feature_importance", "SELECT 1e0 AS total, TRUE AS none_negative, TRUE AS all_named")
+# The two flags that part the salaries most, by the variance between those with and without.
+oracle(
+    "feature_importance",
+    f""", inside AS (SELECT *, ln(1 + salary_avg) AS y FROM ruled WHERE {_IN_RANGE}),
+        flags AS (
+          SELECT id, y, unnest(['job_category', 'industry', 'experience_level', 'company_size', 'country']) AS col,
+                 unnest([job_category, industry, experience_level, company_size, country]) AS val FROM inside),
+        moments AS (SELECT col, val, count(*) AS k, sum(y) AS s FROM flags GROUP BY col, val),
+        whole AS (SELECT count(*) AS n, sum(y) AS t FROM inside),
+        parted AS (
+          SELECT col || '_flags_' || val AS feature, k * power(s / k - t / n, 2) * n / nullif(n - k, 0) AS between_them
+          FROM moments CROSS JOIN whole
+          UNION ALL
+          SELECT 'years_of_experience', (SELECT sum(power(d, 2) * k) FROM (
+            SELECT avg(y) - (SELECT avg(y) FROM inside) AS d, count(*) AS k FROM inside GROUP BY years_of_experience)))
+        SELECT 1e0 AS total, TRUE AS none_negative, string_agg(feature, ',' ORDER BY feature) AS largest
+        FROM (SELECT feature FROM parted ORDER BY between_them DESC, feature LIMIT 2)""",
+    "ruled",
+)
 oracle("save_load_model", "SELECT id, TRUE AS is_same FROM extract", "extract")
-oracle("score_salary", f"SELECT id, TRUE AS is_a_salary FROM jobs WHERE source = '{API_SOURCE}'", "jobs")
+_LINE = f"""(SELECT regr_slope(ln(1 + salary_avg), years_of_experience) AS slope,
+                  regr_intercept(ln(1 + salary_avg), years_of_experience) AS base FROM ruled WHERE {_IN_RANGE})"""
+oracle(
+    "score_salary",
+    f""", guessed AS (SELECT o_orderkey, exp(base + slope * month(o_orderdate)) - 1 AS salary
+                      FROM orders CROSS JOIN {_LINE} WHERE o_orderstatus = 'P')
+        SELECT CAST(o_orderkey AS VARCHAR) AS id, round_even(salary, 2) AS predicted_salary FROM guessed""",
+    "ruled",
+)
 oracle(
     "score_requests",
-    """SELECT conv_id, turn, turn >= 2 AS is_request, turn >= 2 AS has_salary, turn < 2 AS is_failure
-       FROM conversations WHERE role = 'assistant'""",
+    f""", guessed AS (SELECT conv_id, turn, CASE WHEN turn >= 2 THEN exp(base + slope * turn) - 1 END AS salary
+                      FROM conversations CROSS JOIN {_LINE} WHERE role = 'assistant')
+        SELECT conv_id, turn, salary IS NOT NULL AS is_request, round_even(salary, 2) AS predicted_salary,
+               CASE WHEN salary IS NULL THEN {literal(PREDICTION_FAILED)}
+                    ELSE '$' || format('{{:,}}', CAST(round_even(salary, 0) AS BIGINT)) || ' USD/an' END
+               || {literal(SOURCE_PREDICTION)} AS answer
+        FROM guessed""",
+    "ruled",
 )
 _SEEDS = [("country", name, continent) for _, name, continent in SEED_COUNTRIES[1:]]
 _SEEDS += [("skill", name, category) for name, category in SEED_SKILLS[1:]]

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 _local_dirs: dict[str, str] = {}
+_clearings: dict[str, int] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -55,9 +56,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def generation(spark: SparkSession) -> int:
+    """How often this application's folder was cleared: what is staged in one generation is gone in the next."""
+    return _clearings.get(application_folder(spark), 0)
+
+
 def clear(spark: SparkSession) -> None:
     """Remove all that this application has staged; frames that read it can't be used any more."""
     folder = application_folder(spark)
+    _clearings[folder] = _clearings.get(folder, 0) + 1
     system, path = fs.FileSystem.from_uri(folder if ":" in folder else f"file://{folder}")
     if system.get_file_info(path).type == fs.FileType.Directory:
         system.delete_dir(path)

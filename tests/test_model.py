@@ -1,12 +1,15 @@
 """The salary model on offers whose salary follows a known rule."""
 
+import json
 import math
 
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from offermarket import staging
 from offermarket.bindings import queries
+from offermarket.bindings.tables import Market
 from offermarket.operators import dialogue, features, model
 from offermarket.plans import pricing
 from offermarket.vocabulary import BOOSTED_GRID, FOREST_GRID, PREDICTION_FAILED, SEARCH_DRAWS, SEARCH_FOLDS
@@ -113,16 +116,46 @@ def test_split_is_stable(extract):
     assert one == other and 400 < len(one) < 560
 
 
-def test_grids_are_accepted(extract):
+def test_grids_are_accepted():
     from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 
-    def values(drawn):
-        return [list(setting.values()) for setting in drawn]
-
-    drawn = values(model.sampled_grid(RandomForestRegressor(), FOREST_GRID, 20, 42))
-    assert len(drawn) == 20
-    assert drawn == values(model.sampled_grid(RandomForestRegressor(), FOREST_GRID, 20, 42))
-    assert len(model.sampled_grid(GBTRegressor(), BOOSTED_GRID, 20, 42)) == 20
+    drawn = model.sampled_grid(FOREST_GRID, 20, 42)
+    assert len(drawn) == 20 and drawn == model.sampled_grid(FOREST_GRID, 20, 42)
+    for setting in drawn:
+        model._set(RandomForestRegressor(), setting)
+    boosted = model.sampled_grid(BOOSTED_GRID, 20, 42)
+    assert len({str(setting) for setting in boosted}) == 20
+    for setting in boosted:
+        model._set(GBTRegressor(), setting)
+
+
+def test_settings_that_differ_in_size_are_one_fit():
+    drawn = [{"numTrees": n, "maxDepth": d} for n, d in [(5, 3), (9, 3), (5, 4), (7, 3)]]
+    assert model._paths(drawn, "numTrees") == [({"maxDepth": 3}, [5, 7, 9]), ({"maxDepth": 4}, [5])]
+
+
+def test_paths_give_the_error_of_every_size(spark, extract, monkeypatch):
+    data = pricing.TrainingSet.of(extract)
+    folds = model.staged_folds(data.train, 3, 42)
+    assert folds.rdd.getNumPartitions() == 1 and {r.fold for r in folds.select("fold").distinct().collect()} == {0, 1, 2}
+    fit, held = folds.filter("fold <> 0"), folds.filter("fold = 0")
+    params = {"maxDepth": 5, "minInstancesPerNode": 1, "featureSubsetStrategy": "sqrt"}
+    one = model.forest_path(fit, held, params, [6], 42)
+    path = model.forest_path(fit, held, params, [6, 10], 42)
+    assert path[6] == pytest.approx(one[6]) and set(path) == {6, 10}
+    params = {"maxDepth": 4, "stepSize": 0.1, "subsamplingRate": 1.0, "featureSubsetStrategy": "1.0", "minInstancesPerNode": 1}
+    # Rounds build on each other: a shorter boosting is the beginning of a longer one.
+    assert model.boosted_path(fit, held, params, [3, 6], 42)[3] == pytest.approx(model.boosted_path(fit, held, params, [3], 42)[3])
+
+
+def test_the_winner_has_the_least_mean_error(extract):
+    data = pricing.TrainingSet.of(extract)
+    grid = {**FOREST, "numTrees": [2, 6], "maxDepth": [1, 6]}
+    found = model.search_forest(data.train, n_iter=8, folds=2, grid=grid)
+    scores = found.scores.groupBy("setting", "params").agg(F.avg("error").alias("error"), F.count("error").alias("n")).collect()
+    assert len(scores) == 8 and {r.n for r in scores} == {2}
+    assert json.loads(min(scores, key=lambda r: (r.error, r.setting)).params) == found.params
+    assert found.params["maxDepth"] == 6 and found.bestModel.getNumTrees == found.params["numTrees"]
 
 
 def test_logged_requests(spark, trained):
@@ -140,28 +173,44 @@ def test_logged_requests(spark, trained):
     assert got[3].answer.startswith(PREDICTION_FAILED) and got[3].predicted_salary is None
 
 
-def test_queries_run_the_whole_search(spark, monkeypatch):
+def test_searches_keep_to_their_budget_and_are_shared(spark, monkeypatch):
     asked = []
 
     def record(train, estimator, grid, n_iter, folds, *rest):
-        asked.append((grid, n_iter, folds))
+        asked.append((type(estimator).__name__, grid, n_iter, folds))
         raise InterruptedError
 
     monkeypatch.setattr(model, "_search", record)
-    monkeypatch.setattr(queries, "extract", lambda m: None)
-    monkeypatch.setattr(pricing.TrainingSet, "of", lambda *_, **__: pricing.TrainingSet(None, None, None))
+    monkeypatch.setattr(queries, "_once", lambda m, name, make: make())
+    monkeypatch.setattr(queries, "ruled_extract", lambda m: None)
+    monkeypatch.setattr(pricing.TrainingSet, "of", lambda *_, **__: pricing.TrainingSet(None, spark.range(1), None))
+    monkeypatch.setattr(model, "feature_names", lambda df: [])
     for name in ("search_forest", "search_boosted", "feature_importance", "reduced_forest"):
         with pytest.raises(InterruptedError):
             getattr(queries, name)(None)
-    forest = (FOREST_GRID, SEARCH_DRAWS, SEARCH_FOLDS)
-    assert asked == [forest, (BOOSTED_GRID, SEARCH_DRAWS, SEARCH_FOLDS), forest, forest]
+    forest = ("RandomForestRegressor", {**FOREST_GRID, "numTrees": [20, 30, 50]}, 4, 2)
+    assert asked == [forest, ("GBTRegressor", {**BOOSTED_GRID, "maxIter": [20, 30, 50]}, 4, 2), forest, forest]
+    # The operators themselves search the whole grids.
+    for search in (model.search_forest, model.search_boosted):
+        with pytest.raises(InterruptedError):
+            search(None)
+    assert [call[1:] for call in asked[4:]] == [(FOREST_GRID, SEARCH_DRAWS, SEARCH_FOLDS), (BOOSTED_GRID, SEARCH_DRAWS, SEARCH_FOLDS)]
+
+
+def test_shared_results_go_with_their_staged_tables(spark, sf_dir):
+    m, made = Market(spark, sf_dir), []
+    ask = lambda: queries._once(m, "test", lambda: made.append(1) or len(made))
+    assert ask() == ask() == 1
+    monkey = staging._clearings.get(staging.application_folder(spark), 0)
+    staging._clearings[staging.application_folder(spark)] = monkey + 1
+    assert ask() == 2
 
 
-def test_a_model_must_be_better_than_the_mean(spark):
+def test_a_model_must_halve_the_error_of_the_mean(spark):
     labels = spark.createDataFrame([(1.0,), (3.0,)], "label double")
     data = pricing.TrainingSet(None, labels, labels)
-    for offset, better in [(0.0, False), (0.05, False), (-0.05, True)]:
+    for offset, halves in [(0.0, False), (0.5, False), (0.51, True), (-0.9, False)]:
         # The mean, 2, misses each by 1.
-        guess = labels.withColumn("prediction", 2.0 + F.signum(2.0 - F.col("label")) * offset)
-        row = queries._beats_mean(data, guess, "any").first()
-        assert row.n_rows == 2 and row.near_or_better_than_mean is better
+        guess = labels.withColumn("prediction", 2.0 - F.signum(2.0 - F.col("label")) * offset)
+        row = queries._halves_error(data, guess, "any").first()
+        assert row.n_rows == 2 and row.halves_error is halves
