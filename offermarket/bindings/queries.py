@@ -737,10 +737,9 @@ def priority_skills(m: Market) -> DataFrame:
 @query
 def hiring_countries(m: Market) -> DataFrame:
     offers = stage(m.rows.select("job_id", "country", "skill_name"), "offer-skills")
-    demand = stage(career.skill_demand(offers), "demand")
-    placed = stage(career.placed_offers(offers, demand), "placed-offers")
+    bitmaps = stage(career.offer_bitmaps(offers), "offer-bitmaps")
     profiles = stage(matching.valid_profiles(m.profiles), "profiles")
-    return career.hiring_countries(profiles, placed).select(
+    return career.hiring_countries(profiles, bitmaps).select(
         "profile_id", "rank", "country", "n_offers"
     )
 

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from offermarket.staging import stage
+
 SALTS = 32
 BLOCK = 10_000
+BUCKETS = 4096
 # Bytes a lookup side may have to be broadcast: it lies in the driver and in every executor.
 BROADCAST_BYTES = 128 << 20
 
@@ -64,6 +67,41 @@ def blocked_row_number(
     )
 
 
+def dense_row_number(
+    df: DataFrame, keys: list[str], by: list[str], name: str, buckets: int = BUCKETS
+) -> DataFrame:
+    """Numbers from 1 without gaps per key, in no meaningful order, in parallel.
+
+    Rows are dealt to buckets by a hash of ``by`` and numbered inside them; what the
+    earlier buckets hold comes from a table of one row per key and bucket. No task
+    ever holds a whole hot key. ``df`` is read twice and should be staged; rows equal
+    in ``keys`` and ``by`` get numbers of their own.
+    """
+    dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(*by), F.lit(buckets)).cast("int"))
+    sizes = dealt.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*keys, "_bucket", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(*by)
+    numbered = dealt.withColumn("_inside", F.row_number().over(inside)).join(offsets, [*keys, "_bucket"])
+    return numbered.withColumn(name, F.col("_before") + F.col("_inside")).drop("_bucket", "_before", "_inside")
+
+
+def global_row_number(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``row_number`` over a whole frame without bringing it into one task.
+
+    Rows are partitioned by ranges of the order and staged; the driver adds up one
+    count per partition, and each is numbered on its own from there on.
+    """
+    placed = stage(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    counts = {row["_part"]: row["n"] for row in placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    starts = [0]
+    for part in range(max(counts, default=0)):
+        starts.append(starts[-1] + counts.get(part, 0))
+    before = F.get(F.array(*[F.lit(start).cast("long") for start in starts]), F.col("_part"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return placed.withColumn(name, before + inside).drop("_part")
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Partition by keys into the session's full number of partitions.
 

@@ -30,7 +30,6 @@ from offermarket.functions import (
     strip_think,
     tag_source,
 )
-from offermarket.functions.sets import WORDS, disjoint, signature
 from offermarket.vocabulary import DETECTED_SKILLS
 
 MANY = settings(
@@ -181,20 +180,3 @@ def test_dialogue(spark):
     assert one(spark, route_intent, None) == "GENERAL"
     tagged = one(spark, lambda c: tag_source(c, F.lit("ML")), "x")
     assert tagged == "x\n\n🤖 Source : Modèle Machine Learning"
-
-
-@MANY
-@given(
-    st.lists(
-        st.tuples(st.sets(st.integers(0, 400), max_size=60), st.sets(st.integers(0, 400), max_size=4)),
-        min_size=1,
-        max_size=50,
-    )
-)
-def test_disjoint(spark, pairs):
-    data = [(i, [str(x) for x in a], [str(x) for x in b]) for i, (a, b) in enumerate(pairs)]
-    df = spark.createDataFrame(data, "i int, a array<string>, b array<string>")
-    df = df.withColumn("x", signature(F.col("a"))).withColumn("y", signature(F.col("b")))
-    bits = lambda name: [F.col(name)[k] for k in range(WORDS)]
-    got = rows(df, "i", disjoint(F.col("a"), F.col("b"), bits("x"), bits("y")))
-    assert [flag for _, flag in sorted(got)] == [not (a & b) for a, b in pairs]

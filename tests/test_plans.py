@@ -78,3 +78,11 @@ def test_hot_skills_are_split_without_the_session_s_help(spark, sf_dir):
     finally:
         for key, value in before.items():
             spark.conf.set(key, value)
+
+
+def test_ranking_and_counting_leave_no_single_task(spark, sf_dir):
+    """Demand is ranked by ranges, and counted offers are ORed and ranked where the profile is."""
+    assert "Exchange SinglePartition" not in plan(queries()["priority_skills"](spark, sf_dir))
+    tree = plan(queries()["hiring_countries"](spark, sf_dir)).split("== Physical Plan ==")[1].split("\n\n")[0]
+    above = tree.split("BroadcastHashJoin")[0]
+    assert "Window" in above and "Exchange" not in above and "SortAggregate" not in above
