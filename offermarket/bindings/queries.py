@@ -656,17 +656,18 @@ def _scored(m: Market, method: str = "coverage") -> DataFrame:
 
 @query
 def coverage_score(m: Market) -> DataFrame:
-    return _scored(m).select("profile_id", "scope", "job_title", "n_matched", "score")
+    return _scored(m).select("profile_id", "scope", "rank", "job_title", "n_matched", "score")
 
 
 @query
 def dice_score(m: Market) -> DataFrame:
-    return _scored(m, "dice").select("profile_id", "job_title", "score")
+    return _scored(m, "dice").select("profile_id", "rank", "job_title", "score")
 
 
 @query
 def recommend_titles(m: Market) -> DataFrame:
-    return matching.recommend_titles(_scored(m)).select("profile_id", "rank", "job_title", "score")
+    """The first five of the best titles."""
+    return matching.recommend_titles(_scored(m), 5).select("profile_id", "rank", "job_title", "score")
 
 
 def _matched(m: Market) -> DataFrame:

@@ -18,7 +18,8 @@ from offermarket.functions.numbers import (
     percent_text,
     report_grade,
 )
-from offermarket.skew import hot_join, salted_lookup, sized_join, spread
+from offermarket.skew import global_row_number, hot_join, salted_lookup, sized_join, spread
+from offermarket.staging import stage
 from offermarket.vocabulary import (
     ALL_COUNTRIES,
     FULL_PROFILE,
@@ -98,44 +99,66 @@ def title_salary(rows: DataFrame) -> DataFrame:
     return title_facts(rows).select(*_TITLE, "mean_salary")
 
 
+def requirement_sets(requirements: DataFrame, n: int = 10) -> DataFrame:
+    """The different requirement sets of each scope, with the first ``n`` titles that ask for each.
+
+    Of titles with equal requirements only the first ``n`` by name can be among anybody's
+    best ``n``. Sets are numbered by their first title, so of equal scores the smaller number is the better.
+    """
+    same = Window.partitionBy("scope", "required").orderBy("job_title")
+    first = requirements.select(*_TITLE, "required").withColumn("_place", F.row_number().over(same))
+    sets = (
+        first.filter(F.col("_place") <= n)
+        .groupBy("scope", "required")
+        .agg(F.array_sort(F.collect_list("job_title")).alias("titles"))
+        .withColumn("_title", F.get("titles", F.lit(0)))
+    )
+    return global_row_number(sets, [F.asc("_title"), F.asc("scope")], "set").drop("_title")
+
+
 def coverage_score(
-    profiles: DataFrame, requirements: DataFrame, method: str = "coverage"
+    profiles: DataFrame, requirements: DataFrame, method: str = "coverage", n: int = 10
 ) -> DataFrame:
-    """Score of every profile and title of its scope that share a skill.
+    """The ``n`` best titles of every profile's scope that share a skill with it, by score, then name.
 
-    Both sides are joined on scope and skill, one row per shared skill. The
-    requirements, which are read twice and should be staged, are measured first:
-    up to a bound they are broadcast, and as the profiles are spread by their
-    key beforehand, counting and ranking then need no further shuffle.
+    Skills are joined to requirement sets, not to titles: shared skills are counted per
+    profile and set number, only a profile's ``n`` best sets are looked up again, and
+    only ranked titles leave the operator. The sets are measured first: up to a bound
+    they are broadcast, and as the profiles are spread by their key beforehand, counting
+    and ranking then need no further shuffle.
     """
     if method not in ("coverage", "dice"):
         raise ValueError(f"unknown method {method}")
+    sets = stage(requirement_sets(requirements, n), "requirement-sets")
     owned = spread(profiles, "profile_id").select(
         "profile_id", "scope", F.size("skills").alias("n_owned"), F.explode("skills").alias("skill")
     )
-    needed = requirements.select(
-        *_TITLE, F.size("required").alias("n_required"), F.explode("required").alias("skill")
-    )
+    needed = sets.select("scope", "set", F.size("required").alias("n_required"), F.explode("required").alias("skill"))
     matched = (
         sized_join(owned, needed, ["scope", "skill"], ["profile_id"])
-        .groupBy("profile_id", *_TITLE, "n_owned", "n_required")
+        .groupBy("profile_id", "set", "n_owned", "n_required")
         .agg(F.count(F.lit(1)).alias("n_matched"))
     )
     if method == "coverage":
         score = percent_score(F.col("n_matched"), F.col("n_required"))
     else:
         score = percent_score(2 * F.col("n_matched"), F.col("n_owned") + F.col("n_required"))
-    return matched.select("profile_id", *_TITLE, "n_matched", "n_required", score.alias("score"))
+    best_sets = Window.partitionBy("profile_id").orderBy(F.desc("score"), "set")
+    found = (
+        matched.withColumn("score", score)
+        .filter(F.col("score") > 0)
+        .withColumn("_place", F.row_number().over(best_sets))
+        .filter(F.col("_place") <= n)
+    )
+    named = sized_join(found, sets.select("set", "scope", "titles"), ["set"], ["profile_id"])
+    best = Window.partitionBy("profile_id").orderBy(F.desc("score"), "job_title")
+    titled = named.withColumn("job_title", F.explode("titles")).withColumn("rank", F.row_number().over(best))
+    return titled.filter(F.col("rank") <= n).select("profile_id", *_TITLE, "n_matched", "n_required", "score", "rank")
 
 
 def recommend_titles(scored: DataFrame, n: int = 10) -> DataFrame:
-    """The best titles of each profile; titles without a score are left out."""
-    best = Window.partitionBy("profile_id").orderBy(F.desc("score"), "job_title")
-    return (
-        scored.filter(F.col("score") > 0)
-        .withColumn("rank", F.row_number().over(best))
-        .filter(F.col("rank") <= n)
-    )
+    """The first ``n`` titles of each profile, from ``coverage_score`` with as many or more."""
+    return scored.filter(F.col("rank") <= n)
 
 
 def with_title_facts(recommended: DataFrame, facts: DataFrame) -> DataFrame:
@@ -182,7 +205,7 @@ def match_baskets(
     baskets: DataFrame, facts: DataFrame, n: int = 10, method: str = "coverage"
 ) -> DataFrame:
     """The best titles of each basket with salary and skill gap."""
-    best = recommend_titles(coverage_score(baskets, facts, method), n)
+    best = coverage_score(baskets, facts, method, n)
     return skill_gap(with_title_facts(best, facts), baskets)
 
 

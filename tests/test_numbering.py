@@ -33,7 +33,7 @@ def test_global_numbers_follow_the_order(spark):
     assert global_row_number(df.limit(0), [F.asc("v"), F.asc("name")], "rank").count() == 0
 
 
-@pytest.mark.parametrize("words", [1, 64])
+@pytest.mark.parametrize("words", [1, 16])
 def test_countries_by_bitmaps(spark, monkeypatch, words):
     """With one word a country of 300 offers has several blocks."""
     monkeypatch.setattr(career, "WORDS", words)
