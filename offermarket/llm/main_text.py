@@ -255,16 +255,17 @@ def _first_pass(block: Block, known_article: bool) -> str:
     """good, bad or short, from the block alone."""
     size = len(block.text)
     links = len(" ".join("".join(block.linked).split())) / size
+    words = _WORD.findall(block.text.lower())
+    density = sum(word in STOP_WORDS for word in words) / max(len(words), 1)
     if known_article:
-        if links > LINKS_INSIDE and size < LONG:
+        # A link in running words is a sentence, whatever its length; a list of links has few stop words.
+        if links > LINKS_INSIDE and density < FEW_STOP_WORDS:
             return "bad"
         return "short" if size < SHORT else "good"
     if links > LINKS_OUTSIDE or block.text.startswith("©"):
         return "bad"
     if size < SHORT:
         return "short"
-    words = _WORD.findall(block.text.lower())
-    density = sum(word in STOP_WORDS for word in words) / max(len(words), 1)
     if density >= MANY_STOP_WORDS or (size >= LONG and density >= FEW_STOP_WORDS):
         return "good"
     return "bad" if size < LONG and density < FEW_STOP_WORDS / 2 else "near"
@@ -289,8 +290,8 @@ def _second_pass(blocks: list[Block], known_article: bool) -> None:
         near = [j for j in (before[i], after[i]) if j is not None]
         found = {labels[j] for j in near}
         if known_article:
-            # Only a short block between link lists is one of them.
-            block.label = "bad" if len(near) == 2 and found == {"bad"} else "good"
+            # Only a heading between link lists is one of them.
+            block.label = "bad" if block.heading and len(near) == 2 and found == {"bad"} else "good"
         elif len(found) == 1:
             block.label = found.pop()
         elif not near:

@@ -64,6 +64,15 @@ def test_page(name):
     assert extract(page) == wanted
 
 
+def test_links_in_running_words_stay_and_link_lists_go():
+    prose = "<p>It was the first time that the town had been seen by all of them in the morning and it was good.</p>"
+    sentence = "<p><a href=x>See the full report on the matter here</a></p>"
+    links = "<p><a href=a>Home</a> <a href=b>Archive</a> <a href=c>Sports</a></p>"
+    text = extract(f"<article>{prose}{sentence}{prose}{links}<p>A short one.</p>{links}<h3>Topics</h3>{links}</article>").split("\n")
+    first = prose[3:-4]
+    assert text == [first, "See the full report on the matter here", first, "A short one."]
+
+
 @pytest.mark.parametrize("page", ["<" * 3000, "<a " * 2000, "<p class='" * 500, "<div>" * 3000 + "x", "&#x;&#99999999;&am", "<!--", "<script>x"])
 def test_broken_markup_ends(page):
     assert isinstance(extract(page), str)
