@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml import Pipeline
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -892,54 +891,55 @@ def tag_source_(m: Market) -> DataFrame:
 VECTOR_COLUMNS = ["job_title", "country", "experience_level", "is_remote_friendly", "job_category"]
 
 
-def _encoded(m: Market) -> DataFrame:
-    rows = stage(model.training_rows(extract(m)), "training-rows")
-    return model.fit_features(rows).transform(rows)
-
-
-def _active(df: DataFrame, vector: str, names: list[str]) -> DataFrame:
-    """``(id, name, value)`` of a vector's entries that are not 0."""
-    entries = df.select("id", F.posexplode(vector_to_array(F.col(vector))).alias("idx", "value"))
-    known = df.sparkSession.createDataFrame(list(enumerate(names)), "idx int, name string")
-    return entries.filter(F.col("value") != 0).join(known, "idx").select("id", "name", "value")
-
-
-def _names_per_offer(df: DataFrame, active: DataFrame, result: str) -> DataFrame:
-    found = active.groupBy("id").agg(F.concat_ws(",", F.array_sort(F.collect_list("name"))).alias(result))
-    return df.select("id").join(found, "id", "left").select("id", F.coalesce(result, F.lit("")).alias(result))
+def _flags(encoders: features.Encoders, encoded: DataFrame, source: Column, result: str) -> DataFrame:
+    """Per offer the names of the flags it sets, of the sources that pass."""
+    names = encoders.dictionary.filter(source).select(F.col("idx").cast("int").alias("idx"), "value")
+    held = encoded.select("id", F.explode("indices").alias("idx")).join(names, "idx")
+    found = held.groupBy("id").agg(F.concat_ws(",", F.array_sort(F.collect_list("value"))).alias(result))
+    return encoded.select("id").join(found, "id", "left").select("id", F.coalesce(result, F.lit("")).alias(result))
 
 
 @query
 def encode_skills(m: Market) -> DataFrame:
     """The skills whose flags are set."""
     rows = stage(model.training_rows(extract(m)), "training-rows")
-    fitted = features.encode_skills().fit(rows)
-    encoded = fitted.transform(rows)
-    return _names_per_offer(encoded, _active(encoded, "skill_flags", fitted.vocabulary), "skills")
+    encoders = features.encode_skills(rows)
+    encoded = stage(encoders.indexed(rows.select("id", "skills")), "indexed")
+    return _flags(encoders, encoded, F.lit(True), "skills")
 
 
 @query
 def encode_categories(m: Market) -> DataFrame:
     """The value whose flag is set, for each category."""
     rows = stage(model.training_rows(extract(m)), "training-rows")
-    fitted = Pipeline(stages=features.encode_categories(VECTOR_COLUMNS)).fit(rows)
-    encoded = fitted.transform(rows)
+    encoders = features.encode_categories(rows, VECTOR_COLUMNS)
+    encoded = stage(encoders.indexed(rows.select("id", *VECTOR_COLUMNS)), "indexed")
     result = rows.select("id")
-    for column, labels in zip(VECTOR_COLUMNS, fitted.stages[0].labelsArray):
-        found = _names_per_offer(encoded, _active(encoded, f"{column}_flags", list(labels)), column)
-        result = result.join(found, "id")
+    for column in VECTOR_COLUMNS:
+        result = result.join(_flags(encoders, encoded, F.col("source") == column, column), "id")
     return result
 
 
 @query
 def assemble(m: Market) -> DataFrame:
-    """Names of all features that are not 0, and the one that is a number."""
-    encoded = _encoded(m)
-    names = model.feature_names(encoded)
-    active = _active(encoded, "features", names)
-    years = active.filter(F.col("name") == "years_of_experience").select("id", F.col("value").alias("years"))
-    flags = active.filter((F.col("name") != "years_of_experience") & ~F.col("name").startswith("skill_flags"))
-    return _names_per_offer(encoded, flags, "flags").join(years, "id")
+    """Names of all features that are not 0, and the one that is a number, from the vector as it is stored."""
+    rows = stage(model.training_rows(extract(m)), "training-rows")
+    encoders = model.fit_features(rows)
+    encoded = encoders.transform(rows)
+    stored = m.spark.read.parquet(*encoded.inputFiles()).select(
+        "id", F.explode(F.arrays_zip("features.indices", "features.values")).alias("entry")
+    )
+    active = stored.select("id", F.col("entry.indices").alias("idx"), F.col("entry.values").alias("value")).filter("value <> 0")
+    named = active.join(encoders.names(), "idx")
+    flags = (
+        named.filter(~F.col("feature").startswith("skills_flags"))
+        .groupBy("id")
+        .agg(
+            F.concat_ws(",", F.array_sort(F.collect_list(F.when(F.col("idx") > 0, F.col("feature"))))).alias("flags"),
+            F.max(F.when(F.col("idx") == 0, F.col("value"))).alias("years"),
+        )
+    )
+    return flags.select("id", "flags", "years")
 
 
 @query
@@ -1041,8 +1041,7 @@ def linear_baseline(m: Market) -> DataFrame:
 def feature_importance(m: Market) -> DataFrame:
     """Importances of all features, which add up, and the two largest."""
     data = _training(m)
-    names = model.feature_names(data.train)
-    found = stage(model.feature_importance(_forest(m).bestModel, data.train, n=len(names)), "importances")
+    found = stage(model.feature_importance(_forest(m).bestModel, data.encoders.names(), data.encoders.size), "importances")
     best = found.orderBy(F.desc("importance"), "idx").limit(2)
     sums = found.agg(F.bround(F.sum("importance"), 6).alias("total"), (F.min("importance") >= 0).alias("none_negative"))
     named = best.agg(F.concat_ws(",", F.array_sort(F.collect_list("feature"))).alias("largest"))
@@ -1052,7 +1051,7 @@ def feature_importance(m: Market) -> DataFrame:
 @query
 def reduced_forest(m: Market) -> DataFrame:
     data, forest = _training(m), _forest(m)
-    best = model.feature_importance(forest.bestModel, data.train, n=30)
+    best = stage(model.feature_importance(forest.bestModel, data.encoders.names(), n=30), "importances")
     reduced = model.reduced_forest(data.train, best, forest.params)
     return _halves_error(data, reduced.transform(data.test), "reduced forest")
 

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import (
-    CountVectorizer,
-    OneHotEncoder,
-    StringIndexer,
-    VectorAssembler,
-)
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+from functools import partial
+
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from offermarket.skew import salted_lookup
+from offermarket.skew import global_row_number, hot_join, salted_lookup
+from offermarket.staging import new_folder, stage
 from offermarket.vocabulary import (
     CATEGORICAL_COLUMNS,
     OTHER_TITLE,
@@ -22,6 +23,10 @@ from offermarket.vocabulary import (
     TRAIN_PERCENT,
 )
 
+FEATURES = "features"
+#: The feature that is a number.
+NUMBER = "years_of_experience"
+
 
 def training_extract(
     jobs: DataFrame, countries: DataFrame, job_skills: DataFrame, skills: DataFrame
@@ -104,17 +109,102 @@ def model_columns(df: DataFrame) -> DataFrame:
     )
 
 
-def usable_categories(df: DataFrame, columns: list[str] = CATEGORICAL_COLUMNS) -> list[str]:
-    """The columns that hold at least one value, found in one pass."""
-    counts = df.agg(*[F.count(name).alias(name) for name in columns]).first()
-    return [name for name in columns if counts[name] > 0]
+def _values(df: DataFrame, columns: list[str], lists: list[str], *keep: str) -> DataFrame:
+    """``source, value`` of every value that a row holds, each once."""
+    none = F.array().cast("array<string>")
 
+    def entry(source: str, value: Column) -> Column:
+        return F.struct(F.lit(source).alias("source"), value.alias("value"))
+
+    single = [entry(c, F.col(c)) for c in columns]
+    many = [F.transform(F.array_distinct(F.coalesce(F.col(c), none)), partial(entry, c)) for c in lists]
+    held = F.concat(*([F.array(*single)] if single else []), *many)
+    return df.select(*keep, F.inline(held)).filter(F.col("value").isNotNull())
+
+
+def number_values(rows: DataFrame, columns: list[str], lists: list[str]) -> DataFrame:
+    """A dictionary ``source, value, idx, n_rows`` of all values of some columns, staged.
+
+    The values are counted, sorted by ranges and numbered from 1 by range and offset: no
+    task and no driver ever holds them all. Columns without a value have no entry.
+    """
+    counted = _values(rows, columns, lists).groupBy("source", "value").agg(F.count(F.lit(1)).alias("n_rows"))
+    return stage(global_row_number(counted, [F.asc("source"), F.asc("value")], "idx"), "dictionary")
 
-def encode_skills(input_col: str = "skills", output_col: str = "skill_flags") -> CountVectorizer:
-    """One flag per skill of the rows it is fitted on, however many; unknown skills are ignored."""
-    return CountVectorizer(
-        inputCol=input_col, outputCol=output_col, binary=True, minDF=1.0, vocabSize=(1 << 31) - 1
-    )
+
+def encode_skills(rows: DataFrame, col: str = "skills") -> Encoders:
+    """One flag per skill of ``rows``, however many; unknown skills are ignored."""
+    return Encoders.fit(rows, [], [col])
+
+
+def encode_categories(rows: DataFrame, columns: list[str] = CATEGORICAL_COLUMNS) -> Encoders:
+    """One flag per value of each column; NULL and unseen values give zeros."""
+    return Encoders.fit(rows, columns, [])
+
+
+@dataclass
+class Encoders:
+    """Numbers of the features: a dictionary of values, and the years as entry 0 of the vector."""
+
+    dictionary: DataFrame
+    size: int
+    columns: list[str]
+    lists: list[str]
+
+    @classmethod
+    def fit(cls, rows: DataFrame, columns: list[str], lists: list[str]) -> Encoders:
+        dictionary = number_values(rows, columns, lists)
+        return cls(dictionary, dictionary.count() + 1, columns, lists)
+
+    def names(self) -> DataFrame:
+        """``idx, feature`` of all entries of the vector."""
+        flags = self.dictionary.select("idx", F.concat_ws("_flags_", "source", "value").alias("feature"))
+        first = self.dictionary.sparkSession.range(1).select(F.col("id").alias("idx"), F.lit(NUMBER).alias("feature"))
+        return first.unionByName(flags)
+
+    def indexed(self, df: DataFrame) -> DataFrame:
+        """``df`` with the sorted numbers of each row's values as ``indices``.
+
+        Values meet their numbers in a join, in which frequent ones are split.
+        """
+        rows = stage(df.withColumn("_row", F.monotonically_increasing_id()), "rows-to-encode")
+        key = ["source", "value"]
+        held = _values(rows, self.columns, self.lists, "_row")
+        found = hot_join(held, self.dictionary.select(*key, "idx"), self.dictionary.select(*key, "n_rows"), key, ["_row"])
+        per_row = found.groupBy("_row").agg(F.array_sort(F.collect_set(F.col("idx").cast("int"))).alias("indices"))
+        return (
+            rows.join(per_row, "_row", "left")
+            .withColumn("indices", F.coalesce("indices", F.array().cast("array<int>")))
+            .drop("_row")
+        )
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """``df`` with the sparse vector ``features``: rows are written as a vector is stored, and read back as one."""
+        flags = F.array_repeat(F.lit(1.0), F.size("indices"))
+        vector = F.struct(
+            F.lit(0).cast("tinyint").alias("type"),
+            F.lit(self.size).alias("size"),
+            F.concat(F.array(F.lit(0)), F.col("indices")).alias("indices"),
+            F.concat(F.array(F.coalesce(F.col(NUMBER), F.lit(0.0))), flags).alias("values"),
+        )
+        encoded = self.indexed(df).withColumn(FEATURES, vector).drop("indices")
+        path = new_folder(df.sparkSession, "encoded")
+        encoded.write.parquet(path)
+        kept = [f for f in encoded.schema.fields if f.name != FEATURES]
+        return df.sparkSession.read.schema(StructType([*kept, StructField(FEATURES, VectorUDT())])).parquet(path)
+
+    def save(self, path: str) -> None:
+        self.dictionary.write.mode("overwrite").parquet(f"{path}/dictionary")
+        parts = [("column", c) for c in self.columns] + [("list", c) for c in self.lists]
+        spark = self.dictionary.sparkSession
+        spark.createDataFrame(parts, "kind string, name string").coalesce(1).write.mode("overwrite").json(f"{path}/inputs")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Encoders:
+        dictionary = spark.read.parquet(f"{path}/dictionary")
+        parts = spark.read.schema("kind string, name string").json(f"{path}/inputs").collect()
+        columns, lists = ([row["name"] for row in parts if row["kind"] == kind] for kind in ("column", "list"))
+        return cls(dictionary, dictionary.count() + 1, columns, lists)
 
 
 def training_report(df: DataFrame) -> DataFrame:
@@ -137,22 +227,6 @@ def training_report(df: DataFrame) -> DataFrame:
     return row.select(F.inline(F.array(*pairs)))
 
 
-def encode_categories(columns: list[str]) -> list:
-    """One flag per value of each column; NULL and unseen values give zeros."""
-    indexed = [f"{name}_index" for name in columns]
-    flags = [f"{name}_flags" for name in columns]
-    return [
-        StringIndexer(
-            inputCols=columns,
-            outputCols=indexed,
-            handleInvalid="keep",
-            stringOrderType="alphabetAsc",
-        ),
-        # "keep" adds one index for NULL and unseen; dropping it leaves zeros.
-        OneHotEncoder(inputCols=indexed, outputCols=flags, dropLast=True),
-    ]
-
-
-def assemble(columns: list[str], output_col: str = "features") -> VectorAssembler:
-    """All features in one vector."""
+def assemble(columns: list[str], output_col: str = FEATURES) -> VectorAssembler:
+    """Columns of numbers in one vector."""
     return VectorAssembler(inputCols=columns, outputCol=output_col)

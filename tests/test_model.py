@@ -90,14 +90,35 @@ def test_unseen_values_do_not_fail(spark, extract, trained):
 def test_features(extract):
     data = model.training_rows(extract)
     assert data.count() == 599
-    assert "employment_type" not in features.usable_categories(data)
-    assert sorted(features.encode_skills().fit(data).vocabulary) == ["Excel", "Python", "SQL"]
-    fitted = model.fit_features(data)
-    encoded = fitted.transform(data)
-    names = model.feature_names(encoded)
-    assert len(names) == len(set(names)) == encoded.first().features.size
-    odd = encoded.filter("id = 7").first()
-    assert odd.job_category is None and odd.job_category_flags.numNonzeros() == 0
+    encoders = model.fit_features(data)
+    names = {r.idx: r.feature for r in encoders.names().collect()}
+    assert sorted(names) == list(range(encoders.size)) and len(set(names.values())) == encoders.size
+    assert not any(name.startswith("employment_type") for name in names.values())
+    assert {n for n in names.values() if n.startswith("skills")} == {f"skills_flags_{s}" for s in ("Excel", "Python", "SQL")}
+    encoded = {r.id: r for r in encoders.transform(data).collect()}
+    assert len(encoded) == 599
+    for number in (7, 6, 35):
+        row = encoded[str(number)]
+        assert row.features.size == encoders.size and list(row.features.indices) == sorted(set(row.features.indices))
+        flags = {names[i] for i in row.features.indices if i}
+        wanted = {f"skills_flags_{s}" for s in row.skills}
+        columns = ["job_title", "experience_level", "is_remote_friendly", "job_category", "company_size", "industry", "country"]
+        wanted |= {f"{c}_flags_{row[c]}" for c in columns if row[c] is not None}
+        assert flags == wanted and row.features[0] == number % 10
+    assert encoded["7"].job_category is None
+
+
+def test_dictionary_of_hot_unseen_and_missing_values(spark):
+    data = [(i, "hot" if i % 2 else f"v{i}", ["s"] * 2 + [f"s{i % 3}"] if i % 5 else None, float(i)) for i in range(200)]
+    rows_ = spark.createDataFrame(data, "id int, country string, skills array<string>, years_of_experience double")
+    encoders = features.Encoders.fit(rows_, ["country"], ["skills"])
+    assert encoders.size == 1 + 101 + 4
+    other = spark.createDataFrame([(1, "unseen", ["s", "unseen"], None), (2, None, None, 5.0), (2, None, None, 5.0)], rows_.schema)
+    by_name = {r.feature: r.idx for r in encoders.names().collect()}
+    got = sorted((r.id, r.features.toArray().nonzero()[0].tolist()) for r in encoders.transform(other).collect())
+    assert got == [(1, [by_name["skills_flags_s"]]), (2, [0]), (2, [0])]
+    empty = features.Encoders.fit(rows_.limit(0), ["country"], ["skills"])
+    assert empty.size == 1 and empty.transform(other).first().features.size == 1
 
 
 def test_rare_titles(extract):
@@ -183,8 +204,8 @@ def test_searches_keep_to_their_budget_and_are_shared(spark, monkeypatch):
     monkeypatch.setattr(model, "_search", record)
     monkeypatch.setattr(queries, "_once", lambda m, name, make: make())
     monkeypatch.setattr(queries, "ruled_extract", lambda m: None)
-    monkeypatch.setattr(pricing.TrainingSet, "of", lambda *_, **__: pricing.TrainingSet(None, spark.range(1), None))
-    monkeypatch.setattr(model, "feature_names", lambda df: [])
+    encoders = features.Encoders(spark.range(0).selectExpr("id as idx", "'' as source", "'' as value"), 1, [], [])
+    monkeypatch.setattr(pricing.TrainingSet, "of", lambda *_, **__: pricing.TrainingSet(encoders, spark.range(1), None))
     for name in ("search_forest", "search_boosted", "feature_importance", "reduced_forest"):
         with pytest.raises(InterruptedError):
             getattr(queries, name)(None)
