@@ -2,8 +2,8 @@
 
 Lines are exploded and hashed; the distinct documents of each hash are counted
 from distinct ``(hash, document)`` pairs, so a line that every document holds
-still arrives pre-aggregated. Only hashes travel: the text is shuffled once, when
-each document meets the positions it loses. Frequent lines are split over tasks.
+still arrives pre-aggregated. Only hashes travel, and the texts of documents that lose
+a line, once, when they meet the positions. Frequent lines are split over tasks.
 """
 
 from __future__ import annotations
@@ -15,6 +15,13 @@ from offermarket.llm.frames import BLANKS, ascii_lower, field, pack, unpack
 from offermarket.skew import hot_join
 from offermarket.staging import stage
 
+#: Slots of the broadcast list of documents that lose lines: 2**20 integers at most, about 16 MB as a hash table.
+SLOTS = 1 << 20
+
+
+def _slot(id_col: str, key_col: str) -> Column:
+    return F.pmod(F.xxhash64(id_col, key_col), F.lit(SLOTS)).cast("int")
+
 
 def line_key(line: Column) -> Column:
     """The line without outer white space, A-Z lower-cased."""
@@ -57,8 +64,14 @@ def drop_shared_lines(
         .agg(F.collect_set("pos").alias("lost"))
         .select(F.col("id").alias("lost_id"), F.col("text_key").alias("lost_key"), "lost")
     )
+    lost = stage(lost, "lost-lines")
     here = F.col("id").eqNullSafe(F.col("lost_id")) & (F.col("text_key") == F.col("lost_key"))
-    split = rows.join(lost, here, "left").withColumn("lines", F.split("text", "\n", -1))
+    # Only texts that lose a line are shuffled. Chance company in a slot costs a text's way, no more.
+    slots = F.broadcast(lost.select(_slot("lost_id", "lost_key").alias("slot")).distinct())
+    dealt = rows.withColumn("slot", _slot("id", "text_key"))
+    losing = dealt.join(slots, "slot", "left_semi").drop("slot").join(lost, here, "left").drop("lost_id", "lost_key")
+    whole = dealt.join(slots, "slot", "left_anti").drop("slot").withColumn("lost", F.lit(None).cast("array<int>"))
+    split = losing.unionByName(whole).withColumn("lines", F.split("text", "\n", -1))
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("lost"))
     # The positions come in order; a document's lines are joined where the document is.
     joined = F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n")
