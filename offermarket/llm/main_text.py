@@ -5,7 +5,8 @@ part of an article (by their tag, or by the words of their class, id or role) ar
 out on the way. The first pass decides each block by its link density, its share of
 stop words and its length; the second gives short, undecided blocks the label of their
 nearest decided neighbours. Where a page marks its article, that is where blocks are
-looked for, and only link lists are left out there.
+looked for: link lists go there, and parts whose class words may as well name a chapter
+(a discussion, related work) are judged as strictly as on a page without marks.
 """
 
 from __future__ import annotations
@@ -60,6 +61,8 @@ AROUND = frozenset(
     adbox adslot adunit adblock adcontainer adwrapper adsbygoogle
     """.split()
 )
+#: Of these, words that also name parts of an article: inside a marked one they only shift the thresholds.
+HINTS = frozenset("discussion legal related recommendations commentary feedback warning search tags".split())
 #: Endings of compounds such as topnav, mainmenu or usercomments that mark the same.
 AROUND_ENDS = ("nav", "menu", "sidebar", "footer", "banner", "comments", "newsletter", "popup")
 #: ... and those that mark the article itself, which weigh more.
@@ -87,6 +90,7 @@ class Element:
     out: bool  # it, or what it is in, is no part of an article
     article: int  # number of the innermost marked article around it, or -1
     link: bool
+    doubted: bool = False  # it, or what it is in, has a name that may mark surroundings
 
 
 @dataclass
@@ -97,6 +101,7 @@ class Block:
     article: int
     heading: str  # tag of the heading it is in, if any
     parent: int
+    doubted: bool = False
     pieces: list[str] = field(default_factory=list)
     linked: list[str] = field(default_factory=list)
     text: str = ""
@@ -104,18 +109,18 @@ class Block:
 
 
 @lru_cache(maxsize=4096)
-def _marks(attributes: str) -> tuple[bool, bool]:
-    """Whether an element's attributes mark surroundings, and whether they mark an article."""
+def _marks(attributes: str) -> tuple[bool, bool, bool]:
+    """Whether an element's attributes mark surroundings, for sure, and whether they mark an article."""
     names: list[str] = []
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values)
         if name in ("hidden", "aria-hidden") and value.lower() in ("", "hidden", "true"):
-            return True, False
+            return True, True, False
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True, False
+            return True, True, False
         if name in ("class", "id", "role", "itemprop", "data-role", "aria-label"):
             names += value.split()
-    around = inside = False
+    around = sure = inside = False
     for name in names:
         words = set(_PART.findall(_CASES.sub("-", name).lower()))
         if words & POINTERS:
@@ -126,9 +131,10 @@ def _marks(attributes: str) -> tuple[bool, bool]:
         # The comments of a post are no article.
         if words & AROUND:
             around = True
+            sure = sure or not words & AROUND <= HINTS
         elif words & INSIDE:
             inside = True
-    return around and not inside, inside
+    return around and not inside, sure and not inside, inside
 
 
 def blocks_of(page: str) -> tuple[list[Block], list[tuple[str, int]]]:
@@ -150,7 +156,7 @@ def blocks_of(page: str) -> tuple[list[Block], list[tuple[str, int]]]:
             if text.isspace():
                 return
             heading = next((e.tag for e in reversed(stack) if e.tag in HEADINGS), "")
-            current = Block(top.out, top.article, heading, parents[-1])
+            current = Block(top.out, top.article, heading, parents[-1], top.doubted)
             found.append(current)
         if not text.isspace():
             line_break = False
@@ -209,12 +215,14 @@ def blocks_of(page: str) -> tuple[list[Block], list[tuple[str, int]]]:
                     break
         # A heading is called header for its looks; it goes with what it stands in.
         plain = tag in HEADINGS or not match.group(3)
-        around, inside = (False, False) if plain else _marks(match.group(3))
+        around, sure, inside = (False, False, False) if plain else _marks(match.group(3))
         marked = tag in ("article", "main")
         if marked and not around and any(e.out for e in stack):
             # An article is never inside its surroundings: they were left open.
             pop(next(i for i, e in enumerate(stack) if e.out))
         top = stack[-1]
+        doubted = around and not sure and not marked and top.article >= 0
+        around = around and not doubted
         out = top.out or tag in NEVER or (around and not marked and tag not in ("html", "body"))
         out = out or (marked and around) or (tag == "header" and top.article < 0)
         article = top.article
@@ -224,7 +232,7 @@ def blocks_of(page: str) -> tuple[list[Block], list[tuple[str, int]]]:
         if match.group(3).endswith("/") and tag not in BLOCK:
             continue
         count += 1
-        stack.append(Element(tag, out, article, top.link or tag == "a"))
+        stack.append(Element(tag, out, article, top.link or tag == "a", top.doubted or doubted))
         parents.append(count if tag in BLOCK and tag not in ("p", *HEADINGS, "li") else parents[-1])
     for block in found:
         block.text = " ".join("".join(block.pieces).split())
@@ -251,10 +259,14 @@ def _close_implied(tag: str, stack: list[Element], pop) -> None:
             return
 
 
+def _link_density(block: Block) -> float:
+    return len(" ".join("".join(block.linked).split())) / len(block.text)
+
+
 def _first_pass(block: Block, known_article: bool) -> str:
     """good, bad or short, from the block alone."""
     size = len(block.text)
-    links = len(" ".join("".join(block.linked).split())) / size
+    links = _link_density(block)
     words = _WORD.findall(block.text.lower())
     density = sum(word in STOP_WORDS for word in words) / max(len(words), 1)
     if known_article:
@@ -289,7 +301,7 @@ def _second_pass(blocks: list[Block], known_article: bool) -> None:
             continue
         near = [j for j in (before[i], after[i]) if j is not None]
         found = {labels[j] for j in near}
-        if known_article:
+        if known_article and not block.doubted:
             # Only a heading between link lists is one of them.
             block.label = "bad" if block.heading and len(near) == 2 and found == {"bad"} else "good"
         elif len(found) == 1:
@@ -308,6 +320,14 @@ def _second_pass(blocks: list[Block], known_article: bool) -> None:
                 block.label = labels[min(near, key=lambda j: (abs(j - i), labels[j] == "bad"))]
 
 
+def _without_good(blocks: list[Block]) -> None:
+    """On an unmarked page without a good block, what is no link list counts from the main heading on."""
+    start = next((i for i, b in enumerate(blocks) if b.heading == "h1"), 0)
+    for block in blocks[start:]:
+        if _link_density(block) <= LINKS_OUTSIDE and not block.text.startswith("©"):
+            block.label = "good"
+
+
 def _around(at: int, articles: list[tuple[str, int]]) -> Iterator[int]:
     """A marked article and those around it."""
     while at >= 0:
@@ -352,8 +372,10 @@ def extract(page: str | None) -> str:
     body = _body(usable, articles)
     blocks = usable if body is None else body
     for block in blocks:
-        block.label = _first_pass(block, body is not None)
+        block.label = _first_pass(block, body is not None and not block.doubted)
     _second_pass(blocks, body is not None)
+    if body is None and not any(b.label == "good" for b in blocks):
+        _without_good(blocks)
     return "\n".join(b.text for b in blocks if b.label == "good")
 
 
