@@ -7,13 +7,13 @@ cell. A dart has a coordinate, a rank and a height; those below the shingle's we
 count, and every coordinate keeps its earliest dart. Bands of coordinates are
 joined, and every link is checked by the exact similarity of the sets.
 
-Pairs are never spread out within a bucket. Each member is compared with the
-smallest of its bucket, and links found so join into components. Buckets that still
-hold several components go through rounds: a hash that changes with the round picks up
-to ``CENTRES`` members of each, all members are compared with those, and components
-are joined again, until rounds find no link any more. So a bucket costs a number of
-comparisons in proportion to its members, whatever they are, and one of up to
-``CENTRES`` members is compared in full.
+Each member of a bucket is first compared with the smallest of it, and links found
+so join into components. In buckets that still hold several components, all pairs of
+members of two components are compared, in blocks of up to ``BLOCK`` members. What is
+compared are sketches whose parities rule a pair out for sure; pairs that they allow
+are rows, and checked by the exact similarity. Of the pairs of two components in a bucket
+the likeliest are checked first, and the others only where these don't join the two, so
+a component costs few rows however many copies it has, and no pair of a bucket is left out.
 """
 
 from __future__ import annotations
@@ -23,7 +23,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,8 +44,12 @@ BANDS, WIDTH = 40, 6
 LEAST_BITS = 207
 #: 64-bit words of the parity sketch of a set.
 PARITY_WORDS = 16
-#: Members of a bucket that a round compares with all others, and rounds without a link that end it.
-CENTRES, QUIET = 16, 2
+#: Pairs of two components in a bucket that are checked first, as the likeliest to join them.
+CENTRES = 4
+#: Members of a mixed bucket, and rows of small mixed buckets, that a task compares at a time.
+BLOCK, TOGETHER = 1 << 12, 1 << 13
+#: Pairs of sketches compared at a time.
+PAIRS = 1 << 16
 #: Shingles and cells worked on at a time.
 CHUNK = 1 << 15
 #: Slots of the broadcast list that spares a shuffle of texts: 2**20 integers at most.
@@ -262,18 +267,12 @@ def _mixed(labelled: DataFrame) -> DataFrame:
     return found.filter("labels > 1")
 
 
-def _open_rows(members: DataFrame, labels: DataFrame, done: int | None, name: str) -> tuple[DataFrame, DataFrame]:
-    """Members of the buckets that are still mixed, with the label of their component, and those buckets.
-
-    Buckets of up to ``done`` members are left out, as they were compared in full.
-    """
-    whole = stage(
-        members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), f"{name}-labelled"
-    )
-    mixed = _mixed(whole)
-    mixed = stage(mixed if done is None else mixed.filter(F.col("n_rows") > done), f"{name}-mixed")
-    rows = hot_join(whole, mixed.select("band"), mixed.select("band", "n_rows"), ["band"], ["node"])
-    return stage(rows, f"{name}-open"), mixed
+def _open_rows(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members of the buckets that are still mixed, and the rows of each such bucket."""
+    whole = stage(members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
+    mixed = stage(_mixed(whole).select("band", "n_rows"), "mixed")
+    rows = hot_join(whole.select("band", "node"), mixed, mixed, ["band"], ["node"])
+    return stage(rows, "open"), mixed
 
 
 def _relabelled(labels: DataFrame, links: DataFrame, name: str) -> DataFrame:
@@ -292,60 +291,137 @@ def _relabelled(labels: DataFrame, links: DataFrame, name: str) -> DataFrame:
     return stage(kept.unionByName(merged.select(F.col("label").alias("node"), F.col("now").alias("label"))), f"{name}-labels")
 
 
-def _may_link(member: dict[str, Column], centre: Column) -> Column:
-    """Whether a member and a centre are of two components and their sketches allow a link."""
-    x, y = member["x"], centre["x"]
+def _allowed(values: dict, rows: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of some pairs of members, those that sizes and parities allow to be similar, and how far they differ at least."""
+    n, parity = values["n"], values["parity"]
+    x, y = n[rows], n[columns]
+    kept = np.flatnonzero(np.minimum(x, y) >= SIMILARITY * np.maximum(x, y) - ROUNDING)
+    total = np.zeros(len(kept))
     # Each differing bit takes an element of one set alone, so too many of them rule a pair out for sure.
-    differing = sum(F.bit_count(member["parity"][i].bitwiseXOR(centre["parity"][i])) for i in range(PARITY_WORDS))
-    few = differing <= x["n"] + y["n"] - 2 * _common_needed(x["n"], y["n"])
-    return (member["label"] != centre["label"]) & _may_be_similar(x, y) & few
+    for words in (slice(0, 4), slice(4, PARITY_WORDS)):
+        r, c = rows[kept], columns[kept]
+        total = total + np.bitwise_count(parity[r, words] ^ parity[c, words]).sum(axis=1)
+        size = n[r] + n[c]
+        few = total <= size - 2 * (SIMILARITY / (1 + SIMILARITY) * size - ROUNDING)
+        kept, total = kept[few], total[few]
+    return kept, total / np.maximum(n[rows[kept]] + n[columns[kept]], 1)
+
+
+Found = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _likeliest(found: Found, label: np.ndarray, most: int) -> Found:
+    """Of the pairs of each two components the ``most`` that differ least, marked where others are put off."""
+    rows, columns, differing, more = found
+    x, y = label[rows], label[columns]
+    two = np.minimum(x, y) * len(label) + np.maximum(x, y)
+    order = np.lexsort((differing, two))
+    two = two[order]
+    starts = np.flatnonzero(np.concatenate(([True], two[1:] != two[:-1])))[: len(two)]
+    sizes = np.diff(np.append(starts, len(two)))
+    place = np.arange(len(two)) - np.repeat(starts, sizes)
+    put_off = np.logical_or.reduceat(more[order], starts) if len(two) else more
+    marked = np.repeat(put_off | (sizes > most), sizes) if len(two) else more
+    kept = order[place < most]
+    return rows[kept], columns[kept], differing[kept], marked[place < most]
+
+
+def _compared(values: dict, left: np.ndarray, right: np.ndarray, most: int | None) -> Found:
+    """Pairs of a left and a right member of two components that may be similar, how far they differ, and whether others were put off.
+
+    With ``most``, so many of each two components, those that differ least.
+    """
+    label = values["label"]
+    none = np.empty(0, np.int64)
+    found = (none, none, np.empty(0), np.empty(0, bool))
+    names, counts = np.unique(label[np.concatenate((left, right))], return_counts=True)
+    if len(names) < 2:
+        return found
+    # Pairs inside the largest component need no look.
+    largest = names[np.argmax(counts)]
+    sides = [(left[label[left] != largest], right)]
+    if left is not right:
+        sides.append((left[label[left] == largest], right[label[right] != largest]))
+    parts = [found]
+    for one, other in sides:
+        step = max(1, PAIRS // max(len(other), 1))
+        for start in range(0, len(one), step):
+            some = one[start : start + step]
+            rows, columns = np.repeat(some, len(other)), np.tile(other, len(some))
+            # A pair that comes both ways is one.
+            twice = (label[columns] != largest) & (rows > columns) if left is right else False
+            apart = (label[rows] != label[columns]) & ~np.broadcast_to(twice, rows.shape)
+            rows, columns = rows[apart], columns[apart]
+            kept, differing = _allowed(values, rows, columns)
+            part = (rows[kept], columns[kept], differing, np.zeros(len(kept), bool))
+            parts.append(part if most is None else _likeliest(part, label, most))
+    found = tuple(np.concatenate(column) for column in zip(*parts))
+    return found if most is None else _likeliest(found, label, most)
+
+
+def _compare(most: int | None):
+    """For ``applyInArrow``: the possible pairs of two blocks of a bucket, or of some small buckets."""
+
+    def compare(part: pa.Table) -> pa.Table:
+        part = part.combine_chunks()
+        parity = pc.list_flatten(part.column("parity")).to_numpy().view(np.uint64).reshape(-1, PARITY_WORDS)
+        label = pc.dictionary_encode(part.column("label")).combine_chunks().indices.to_numpy().astype(np.int64)
+        values = {"n": part.column("n").to_numpy(), "parity": parity, "label": label}
+        low, high, block = (part.column(name).to_numpy() for name in ("low", "high", "block"))
+        if low[0] < 0:
+            band = part.column("band").to_numpy()
+            order = np.argsort(band, kind="stable")
+            ends = np.flatnonzero(np.append(band[order][1:] != band[order][:-1], True)) + 1
+            sides = [(one, one) for one in np.split(order, ends[:-1])]
+        else:
+            left = np.flatnonzero(block == low[0])
+            sides = [(left, left if low[0] == high[0] else np.flatnonzero(block == high[0]))]
+        found = [_compared(values, left, right, most) for left, right in sides]
+        rows, columns, _, more = (np.concatenate(parts) for parts in zip(*found))
+        node = part.column("node")
+        return pa.table({"one": node.take(pa.array(rows)), "other": node.take(pa.array(columns)), "more": pa.array(more)})
+
+    return compare
 
 
-def _round_pairs(open_rows: DataFrame, counts: DataFrame, number: int, every: bool) -> DataFrame:
-    """Pairs of a member and one of its bucket's centres of this round that may be similar.
+def _possible_pairs(rows: DataFrame, n_rows: int, most: int | None) -> DataFrame:
+    """Node pairs ``a, b`` of two components that share a mixed bucket and may be similar; ``more`` if others were put off.
 
-    The centres of a bucket, ``CENTRES`` at most, meet each member as one row, and only
-    pairs that may be similar become rows of their own. With ``every``, all members are
-    centres, a row each: exact, and quadratic in a bucket's members.
+    Each two blocks of a bucket are a group of their own; buckets of up to ``BLOCK`` members
+    are grouped together. So a group has a largest size, whatever a bucket holds.
     """
-    centre = F.struct("node", "label", "x", "parity")
-    own = {name: F.col(name) for name in ("label", "x", "parity")}
-    if every:
-        named = open_rows.select("band", centre.alias("centre"))
-        met = hot_join(open_rows, named, counts, ["band"], ["node"]).filter(_may_link(own, F.col("centre")))
-        met = met.select("node", F.col("centre.node").alias("a"))
-    else:
-        order = F.xxhash64(F.lit(number), "band", "node")
-        placed = open_rows.withColumn("place", F.row_number().over(Window.partitionBy("band").orderBy(order)))
-        chosen = placed.filter(F.col("place") <= CENTRES)
-        named = chosen.groupBy("band").agg(F.collect_list(centre).alias("centres"))
-        met = hot_join(open_rows, named, counts, ["band"], ["node"])
-        possible = F.filter("centres", lambda one: _may_link(own, one))
-        met = met.select("node", F.explode(F.transform(possible, lambda one: one["node"])).alias("a"))
-    return stage(met.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), "round-pairs")
+    blocks = F.ceil(F.col("n_rows") / BLOCK).cast("int")
+    dealt = rows.withColumn("block", F.when(blocks > 1, F.pmod(F.xxhash64("node"), blocks)).otherwise(-1).cast("int"))
+    met = F.when(blocks > 1, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.lit(-1)))
+    paired = dealt.withColumn("met", F.explode(met))
+    small = F.pmod(F.xxhash64("band"), F.lit(max(1, -(-n_rows // TOGETHER))))
+    grouped = paired.select(
+        F.when(F.col("block") < 0, small).otherwise(F.col("band")).alias("bucket"),
+        F.least("block", "met").alias("low"),
+        F.greatest("block", "met").alias("high"),
+        "band", "block", "node", "label", "n", "parity",
+    ).groupBy("bucket", "low", "high")
+    pairs = grouped.applyInArrow(_compare(most), "one binary, other binary, more boolean")
+    ends = [F.least("one", "other").alias("a"), F.greatest("one", "other").alias("b")]
+    return stage(pairs.groupBy(*ends).agg(F.max("more").alias("more")), "possible-pairs")
 
 
 def _join_mixed(members: DataFrame, labels: DataFrame, texts: DataFrame, nodes: DataFrame, exact: bool) -> DataFrame:
-    """``labels`` after the links found in the buckets that these leave mixed."""
-    sets, done, quiet, number = None, None, 0, 0
-    while quiet < QUIET:
-        open_rows, mixed = _open_rows(members, labels, done, f"round-{number}")
-        counts = mixed.select("band", "n_rows")
-        if counts.isEmpty():
-            break
-        if sets is None:
-            sets = _shingle_sets(stage(open_rows.select("node").distinct(), "open-nodes"), texts, nodes)
-        slim = nodes.select("node", F.struct("n", "sketch").alias("x")).join(sets.select("node", "parity"), "node")
-        whole = stage(open_rows.join(slim, "node"), "round-rows")
-        found = _links(_round_pairs(whole, counts, number, exact), sets)
-        if found.isEmpty():
-            quiet += 1
-        else:
-            quiet, labels = 0, _relabelled(labels, found, f"round-{number}")
-        members = open_rows.select("band", "node")
-        if exact:
+    """``labels`` after all links in the buckets that these leave mixed."""
+    open_rows, mixed = _open_rows(members, labels)
+    n_rows = mixed.agg(F.sum("n_rows")).first()[0]
+    if n_rows is None:
+        return labels
+    sets = _shingle_sets(stage(open_rows.select("node").distinct(), "open-nodes"), texts, nodes)
+    slim = nodes.select("node", "n").join(sets.select("node", "parity"), "node")
+    for most in [None] if exact else [CENTRES, None]:
+        now = slim.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        pairs = _possible_pairs(open_rows.join(now, "node"), n_rows, most)
+        found = _links(pairs.select("a", "b"), sets)
+        if not found.isEmpty():
+            labels = _relabelled(labels, found, "mixed")
+        if pairs.filter("more").isEmpty():
             break
-        done, number = CENTRES, number + 1
     return labels
 
 
@@ -366,10 +442,8 @@ def near_classes(
     repeat both id and text one is kept at most. ``carry`` names the input columns to
     return (all but the text if left out); those with names of results are replaced.
 
-    A similar pair is missed if no band holds both, or if all buckets that hold both are
-    larger than ``CENTRES``, stay mixed, and no round picks either. ``exact`` compares
-    every pair of a bucket that is mixed after the first links instead: no pair of a band is missed, but
-    the comparisons grow with the square of such a bucket.
+    A similar pair is missed only if no band holds both. ``exact`` checks all pairs that the
+    sketches allow at once, not the likeliest of two components first; the result is the same.
     """
     carried = [c for c in docs.columns if c != text_col] if carry is None else carry
     texts = pack(

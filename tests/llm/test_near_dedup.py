@@ -160,3 +160,50 @@ def test_chain_and_exact_mode(spark):
     group = near_group(random.Random(9), 120)
     rows = near_dedup.near_classes(documents(spark, list(group.items())), exact=True).collect()
     assert agreeing({r.doc_id: r.class_id for r in rows}, plain(group)) == 1.0
+
+
+def pairs_in_a_crowd(draw, size, pairs, words=120):
+    """Copies less alike than the bound, and pairs that are alike, all in the same buckets; and the shingles each keeps."""
+    base = [f"w{i}" for i in range(words)]
+    places = [draw.sample(range(words), 4) for _ in range(size)]
+    for _ in range(pairs):
+        places += [draw.sample(range(words), 2)] * 2
+    texts, kept = {}, np.ones((len(places), words - 4), int)
+    for doc, changed in enumerate(places):
+        own = list(base)
+        for place in changed:
+            own[place] = f"x{draw.randint(0, 10**9)}"
+            kept[doc, max(0, place - 4) : place + 1] = 0
+        texts[doc] = " ".join(own)
+    return texts, kept
+
+
+def test_no_pair_of_a_large_mixed_bucket_is_lost(spark, monkeypatch):
+    """Buckets are cut into several blocks."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 100, raising=False)
+    monkeypatch.setattr(near_dedup, "CENTRES", 1)
+    texts, kept = pairs_in_a_crowd(random.Random(3), 500, 20)
+    common = kept @ kept.T
+    alike = np.argwhere(5 * common >= 4 * (2 * kept.shape[1] - common))
+    wanted = {d: d for d in texts}
+    for _ in range(8):
+        for a, b in alike:
+            wanted[a] = wanted[b] = min(wanted[a], wanted[b])
+    assert len({wanted[d] for d in range(500, 540)}) <= 20 and len(set(wanted.values())) > 300
+    assert result(documents(spark, list(texts.items()))) == wanted
+
+
+def test_components_in_a_bucket_cost_few_rows(spark, monkeypatch):
+    """Two large components that one bucket holds are joined by a few of their pairs."""
+    seen = []
+    possible = near_dedup._possible_pairs
+
+    def counted(*args):
+        pairs = possible(*args)
+        seen.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(near_dedup, "_possible_pairs", counted)
+    texts = near_group(random.Random(4), 300, changes=1)
+    assert result(documents(spark, list(texts.items()))) == plain(texts)
+    assert all(n < 20 * len(texts) for n in seen)
