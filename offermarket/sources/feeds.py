@@ -88,8 +88,9 @@ def _typed(name: str, kind: T.DataType) -> Column:
 def read_offer_pages(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """One row per offer of the landed result pages.
 
-    Pages lie under ``country_code=/what=/page=``. ``pos`` is the offer's place
-    on its page; ``arrival`` is the order in which the searches return offers.
+    Pages lie under ``country_code=/what=/page=``, or under ``country_code=/what=`` with
+    ``page`` as a field, many lines to a file. ``pos`` is the offer's place on its page;
+    ``arrival`` is the order in which the searches return offers.
     """
     schema = T.StructType(API_PAGE.fields + API_PAGE_PARTITIONS.fields)
     pages = spark.read.schema(schema).option("multiLine", multi_line).json(path)
