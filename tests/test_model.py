@@ -169,6 +169,24 @@ def test_paths_give_the_error_of_every_size(spark, extract, monkeypatch):
     assert model.boosted_path(fit, held, params, [3, 6], 42)[3] == pytest.approx(model.boosted_path(fit, held, params, [3], 42)[3])
 
 
+def test_training_rows_of_a_task_are_bounded(spark, extract, monkeypatch):
+    """Files that Spark would pack into few partitions are dealt by rows, in the same order whatever was before."""
+    monkeypatch.setattr(model, "ROWS_PER_TASK", 50)
+    train = pricing.TrainingSet.of(extract).train
+    folds = model.staged_folds(train.repartition(16), 3, 42)
+    per_task = [len(rows_) for rows_ in folds.rdd.glom().collect()]
+    assert len(per_task) == -(-train.count() // 50) > 8 and max(per_task) <= 100 and sum(per_task) == train.count()
+    again = model.staged_folds(train.repartition(5, "label"), 3, 42)
+    assert again.collect() == folds.collect()
+
+
+def test_offers_of_a_saved_model_are_read_once(spark, extract, monkeypatch, tmp_path):
+    asked = []
+    monkeypatch.setattr(queries, "extract", lambda m: asked.append(1) or extract)
+    found = queries.save_load_model(Market(spark, str(tmp_path))).collect()
+    assert len(asked) == 1 and len(found) == 599 and all(row.is_same for row in found)
+
+
 def test_the_winner_has_the_least_mean_error(extract):
     data = pricing.TrainingSet.of(extract)
     grid = {**FOREST, "numTrees": [2, 6], "maxDepth": [1, 6]}
