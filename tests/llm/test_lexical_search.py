@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from awkward import TEXTS, clashing, documents
 
@@ -113,3 +114,65 @@ def test_blocks_are_skipped_only_below_the_score_to_beat(monkeypatch):
         got = sorted(zip((-query.scores).tolist(), query.docs.to_pylist()))
         assert got == [(int(s), d) for s, d in best if s < 0]
     assert chunk.met["skipped"] > 0 and chunk.met["scored"] < 0.5 * n * 12
+
+
+def _batch_sizes(items, weights, beat, top):
+    """Stands in for a search: how many rows of the index came with each batch, as scores."""
+
+    def run(batches):
+        for number, batch in enumerate(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([number]), pa.array([batch.num_rows])], names=["item", "doc", "score"])
+
+    return run
+
+
+def test_large_rows_of_the_index_are_written_and_read_one_at_a_time(spark, monkeypatch):
+    word = "concat('w', pmod(xxhash64(id, k), 2500))"
+    docs = spark.range(8 * lexical_search.CHUNK).selectExpr("id as doc", f"array_join(transform(sequence(1, 150), k -> {word}), ' ') as text")
+    hashes, _ = lexical_search.textbytes.words(*lexical_search.textbytes.column_bytes(pa.array([" ".join(f"w{k}" for k in range(2500))])))
+    vocabulary = np.unique(hashes)
+    vectors = docs.mapInArrow(lexical_search._vectors(vocabulary), "doc bigint, n bigint, terms array<int>, counts array<bigint>")
+    index = lexical_search.build_index(vectors, vocabulary, lexical_search.Statistics(docs.count(), 1, np.full(2500, 1000)))
+    large = index.filter("octet_length(summary) > 4 * 1024 * 1024").count()
+    assert large >= 4
+    files = [pq.ParquetFile(path.removeprefix("file://")).metadata for path in index.inputFiles()]
+    assert sum(m.num_row_groups for m in files) >= large
+    monkeypatch.setattr(lexical_search, "_search", _batch_sizes)
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    seen = lexical_search.search_items(index, [np.arange(5)], np.full(2500, 1000), 1000)
+    assert seen.agg({"score": "sum"}).first()[0] == index.count()
+    assert seen.count() >= large
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
+def test_long_documents_make_chunks_of_fewer(monkeypatch):
+    monkeypatch.setattr(lexical_search, "VALUES", 100, raising=False)
+    monkeypatch.setattr(lexical_search, "CHUNK", 20)
+    sizes = [30, 30, 30, 30, 150, 1, 99, 1] + [2] * 45 + [100, 100, 3]
+    terms = pa.array([list(range(n)) for n in sizes], pa.list_(pa.int32()))
+    rows = pa.RecordBatch.from_arrays([pa.array(range(len(sizes))), terms, terms], names=["doc", "terms", "values"])
+    for step in (1, 7, len(sizes)):
+        index = list(lexical_search._chunks(200)(iter([rows.slice(k, step) for k in range(0, len(sizes), step)])))
+        docs = [row.column("docs")[0].as_py() for row in index]
+        assert [len(d) for d in docs] == [3, 1, 1, 2, 20, 20, 6, 1, 1, 1]
+        assert sum(docs, []) == list(range(len(sizes)))
+        assert [len(row.column("value")[0].as_py()) // 4 for row in index] == [sum(sizes[d] for d in some) for some in docs]
+
+
+def test_summaries_of_a_chunk_are_bounded_and_the_search_stays_exact(monkeypatch):
+    size, n, top = 50, 40, 5
+    monkeypatch.setattr(lexical_search, "CELLS", size * 32)
+    draw = np.random.default_rng(3)
+    dense = draw.integers(1, 900_000, (n, size)) * (np.arange(n)[:, None] < 32 + np.arange(size) % 9)
+    row, term = np.nonzero(dense)
+    ptr = np.searchsorted(row, np.arange(n + 1))
+    chunk = lexical_search.Chunk(pa.array(np.arange(n)), lexical_search.build_chunk(ptr, term, dense[row, term], size), size)
+    assert len(chunk.summary) == 32 == chunk.large.sum()
+    lengths = np.diff(chunk.arrays["block_ptr"])
+    assert lengths[chunk.large].min() >= lengths[~chunk.large].max()
+    weights = draw.integers(1, 9000, size)
+    for wanted in ([0, 8, 17], list(range(size)), [9], [7, 44]):
+        query = lexical_search.Query.of(np.array(wanted), weights)
+        chunk.search(query, top)
+        scores = dense[:, wanted] @ weights[wanted]
+        assert sorted(zip(-query.scores, query.docs.to_pylist())) == [(s, d) for s, d in sorted(zip(-scores, range(n)))[:top] if s < 0]
