@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -176,3 +177,28 @@ def test_summaries_of_a_chunk_are_bounded_and_the_search_stays_exact(monkeypatch
         chunk.search(query, top)
         scores = dense[:, wanted] @ weights[wanted]
         assert sorted(zip(-query.scores, query.docs.to_pylist())) == [(s, d) for s, d in sorted(zip(-scores, range(n)))[:top] if s < 0]
+
+
+def test_keys_of_long_documents_take_bounded_memory(monkeypatch):
+    size, n = 4000, 300
+    draw = np.random.default_rng(2)
+    held = [np.sort(draw.permutation(size)[: 1 if k % 50 == 0 else size - k]) for k in range(n)]
+    offsets = pa.array(np.append(0, np.cumsum([len(x) for x in held])), pa.int32())
+    terms = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(held), pa.int32()))
+    counts = pa.ListArray.from_arrays(offsets, pa.array(draw.integers(1, 40, int(offsets[-1].as_py()))))
+    ids = pa.array(np.arange(n))
+    batch = pa.RecordBatch.from_arrays([ids, pa.array(draw.integers(5000, 90_000, n)), terms, counts, ids], names=["doc", "n", "terms", "counts", "salt"])
+    known = lexical_search.Statistics(n, 10_000_000, draw.integers(1, 9000, size))
+    vocabulary = draw.integers(0, 1 << 63, size).astype(np.uint64)
+
+    def keyed():
+        return list(lexical_search._keyed(vocabulary, known)(iter([batch])))[0]
+
+    tracemalloc.start()
+    first = keyed()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 160 << 20
+    for pieces in (1, 1 << 30):
+        monkeypatch.setattr(lexical_search, "KEYED", pieces, raising=False)
+        assert keyed().equals(first)
